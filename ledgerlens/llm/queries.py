@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import lookalikes, packing, percentiles, splits, tokens
+from ledgerlens.llm import lookalikes, names, packing, percentiles, splits, tokens
 
 QUERIES = {
     "p1_found": splits.p1_found,
     "p1_split": splits.p1_split,
+    "p3_found": names.p3_found,
     "p4_found": lookalikes.p4_found,
     "p4_forms": lookalikes.p4_forms,
     "p6_percentiles": percentiles.p6_percentiles,
