@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.plans.runtime import Stages
+from ledgerlens.plans.runtime import Stages, is_small
 
 #: Neighbours in one adjacency row. A hub has many rows, spread over all partitions.
 BLOCK = 2_000
@@ -64,15 +64,12 @@ def components(
     The adjacency lists are cut into blocks of BLOCK neighbours, hash-partitioned by (node, block), so that a hub with a
     third of all edges is spread like any other rows. All seeds expand at once; a node takes the least of the labels that
     reach it first, every other label that meets it goes into the label graph. Nodes that no seed reached start the next
-    sweep, with twice the share of seeds. The label graph has one node for SEED_SHARE nodes at most: it is
-    merged in one task if it has at most ``small`` pairs (SMALL_GRAPH), else by another search with other seeds.
+    sweep, with twice the share of seeds. The label graph is merged in one task if it has at most ``small`` pairs
+    (SMALL_GRAPH), else by another search with other seeds, which has fewer nodes by half at least.
     """
     stages = stages or Stages(spark)
     pairs = edges.where("a is not null and b is not null")
-    one = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    one = stages.cut(one)
-    if one.limit(small + 1).count() <= small:
-        return stages.cut(one.coalesce(1).mapInPandas(_merge_task, "node string, comp string"))
+    one = stages.cut(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     return search(spark, one, stages, small, depth)
 
 
@@ -121,10 +118,15 @@ def search(spark: SparkSession, one: DataFrame, stages: Stages, small: int, dept
         if rest.isEmpty():
             break
         share = max(1, share // 2)
-    links = collisions[0]
-    for more in collisions[1:]:
+    links = one.limit(0)
+    for more in collisions:
         links = links.unionByName(more)
-    merged = components(spark, links, stages, small, depth + 1).select(F.col("node").alias("label"), "comp")
+    links = stages.cut(links.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if is_small(links, small):
+        merged = stages.cut(links.coalesce(1).mapInPandas(_merge_task, "node string, comp string"))
+    else:
+        merged = search(spark, links, stages, small, depth + 1)
+    merged = merged.select(F.col("node").alias("label"), "comp")
     reach = labelled.groupBy("label").agg(F.count("*").alias("n")).join(merged, "label", "left")
     return stages.cut(
         with_value(labelled, stages.cut(reach), "label", "n", stages).select("node", F.coalesce("comp", "label").alias("comp"))
