@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
+from ledgerlens.operators import moments
+
+QUERIES: dict = {"p2_found": moments.p2_found, "p2_zones": moments.p2_zones}
 ORACLES: dict[str, str] = {}
 
 
