@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import lookalikes, names, packing, percentiles, splits, tokens
+from ledgerlens.llm import lookalikes, names, overlaps, packing, percentiles, splits, tokens
 
 QUERIES = {
     "p1_found": splits.p1_found,
@@ -10,6 +10,8 @@ QUERIES = {
     "p3_found": names.p3_found,
     "p4_found": lookalikes.p4_found,
     "p4_forms": lookalikes.p4_forms,
+    "p5_found": overlaps.p5_found,
+    "p5_report": overlaps.p5_report,
     "p6_percentiles": percentiles.p6_percentiles,
     "p7_ids": tokens.p7_ids,
     "p8_packs": packing.p8_packs,
