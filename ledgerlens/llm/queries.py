@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ledgerlens.llm import lookalikes, names, overlaps, packing, percentiles, splits, tokens
+from ledgerlens.llm import lookalikes, names, overlaps, packing, percentiles, reading, splits, tokens
 
 QUERIES = {
     "p1_found": splits.p1_found,
@@ -16,6 +16,7 @@ QUERIES = {
     "p7_ids": tokens.p7_ids,
     "p8_packs": packing.p8_packs,
     "p8_fill": packing.p8_fill,
+    "p9_found": reading.p9_found,
 }
 
 _RANKED = "".join(f", cast(quantile_disc(value, {p}) AS BIGINT) AS p{round(p * 100)}" for p in percentiles.RANKS)
