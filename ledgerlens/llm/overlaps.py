@@ -70,7 +70,8 @@ def classes(rows: DataFrame) -> DataFrame:
 def terms(one: DataFrame) -> DataFrame:
     """``(cid, side, term)``: each field is a term, names are a term for each word."""
     single = [F.concat(F.lit(f"{k}:"), F.col(k).cast("string")) for k in KEYS if k not in ("supplier", "customer", "currency")]
-    several = [F.transform(F.split(k, " "), lambda w, k=k: F.concat(F.lit(f"{k}:"), w)) for k in ("supplier", "customer")]
+    word = lambda k: F.transform(F.split(k, " "), lambda w: F.concat(F.lit(f"{k}:"), w))
+    several = [word(k) for k in ("supplier", "customer")]
     every = F.array_distinct(F.concat(F.array(*single), *[F.coalesce(s, F.array().cast("array<string>")) for s in several]))
     return one.select("cid", "side", F.explode(F.filter(every, lambda t: t.isNotNull())).alias("term"))
 
