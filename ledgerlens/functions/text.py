@@ -23,6 +23,11 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
+def opaque(value: Column) -> Column:
+    """``value`` as the optimiser can't take apart: a struct whose fields are used many times is then computed once, not inlined."""
+    return let(value, lambda x: x)
+
+
 def strip(x: Column) -> Column:
     """Without white space of any kind at the ends."""
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")

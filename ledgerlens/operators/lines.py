@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.amounts import find_amounts, find_currencies, normalize_tax_id, parse_amount
 from ledgerlens.functions.dates import find_dates
-from ledgerlens.functions.text import canon, is_label, let, strip
+from ledgerlens.functions.text import canon, is_label, let, opaque, strip
 from ledgerlens.functions.words import FIELDS
 
 # The words that label fields on invoices, as patterns of the JVM.
@@ -299,5 +299,5 @@ def propose(df: DataFrame, pages: str = "pages") -> DataFrame:
         "customer_name": customer_name(F.col("_block")),
         "customer_tax_id": tax_id(F.col("_block")),
     }
-    df = df.withColumn("candidates", F.struct(*[made[f].cast(CANDIDATE).alias(f) for f in FIELDS]))
+    df = df.withColumn("candidates", opaque(F.struct(*[made[f].cast(CANDIDATE).alias(f) for f in FIELDS])))
     return df.drop("_lines", "_inside", "_own", "_block", "_rows", "_total")

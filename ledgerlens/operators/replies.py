@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.functions.text import is_blank, let
+from ledgerlens.functions.text import is_blank, let, opaque
 from ledgerlens.functions.words import BRIEF_FIELDS, FIELDS
 from ledgerlens.operators.lines import CANDIDATE, candidate, none
 from ledgerlens.operators.resolve import resolve
@@ -35,7 +35,7 @@ def reply_candidates(reply: Column) -> Column:
         value, evidence = (F.get_json_object(reply, f"$.{f}.{k}") for k in ("value", "evidence"))
         return F.when(~is_blank(value), candidate(value, F.nullif(evidence, F.lit("")), F.lit(None))).otherwise(none()).cast(CANDIDATE).alias(f)
 
-    return F.when(is_strict(reply), F.struct(*[one(f) for f in FIELDS]))
+    return opaque(F.when(is_strict(reply), F.struct(*[one(f) for f in FIELDS])))
 
 
 def user_prompt(text: Column, note: str | None = None) -> Column:
@@ -77,7 +77,7 @@ def cascade(df: DataFrame, replies: DataFrame, key: str = "request_key", pages:
     ]
     used = F.when(usable, "hybrid:llm_called").otherwise("heuristic:fallback")
     warning = F.when(F.col("_reply").isNull(), "no reply was recorded for this request").when(~usable, "the reply does not match the schema")
-    merged = resolve(theirs.withColumns({"used": used, "warnings": F.filter(F.array(warning), lambda w: w.isNotNull()), "candidates": F.struct(*better)}), "candidates", pages)
+    merged = resolve(theirs.withColumns({"used": used, "warnings": F.filter(F.array(warning), lambda w: w.isNotNull()), "candidates": opaque(F.struct(*better))}), "candidates", pages)
     alone = need.where(~F.col("_need")).withColumns({"used": F.lit("hybrid:heuristic_only"), "warnings": F.array().cast("array<string>")})
     columns = [*df.columns, "used", "warnings"]
     return alone.select(*columns).unionByName(merged.select(*columns))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.amounts import DECIMAL, find_amounts, find_currencies, has_three_decimals, local_dollar, normalize_amount, normalize_currency, normalize_tax_id, same_tax_id
 from ledgerlens.functions.dates import date_order, date_readings, is_credit_note, normalize_date, pick_reading
-from ledgerlens.functions.text import canon, fold, is_blank, let, normalize_text, page_of, squash
+from ledgerlens.functions.text import canon, fold, is_blank, let, normalize_text, opaque, page_of, squash
 from ledgerlens.functions.words import AMOUNT_FIELDS, FIELDS, ID_FIELDS
 
 # The four levels of confidence, and how printed amounts are added up.
@@ -148,7 +148,7 @@ def resolve(df: DataFrame, candidates: str = "candidates", pages: str = "pages",
         )
         for f in FIELDS
     }
-    df = df.withColumn(fields, F.struct(*[made[f].alias(f) for f in FIELDS]))
+    df = df.withColumn(fields, opaque(F.struct(*[made[f].alias(f) for f in FIELDS])))
     return df.drop("_text", "_order", "_three", "_credit", "_dollar", "_squashed", *[f"_{k}_{f}" for k in "vsc" for f in FIELDS])
 
 
