@@ -9,6 +9,7 @@ from ledgerlens.functions.text import is_blank, let, opaque
 from ledgerlens.functions.words import BRIEF_FIELDS, FIELDS
 from ledgerlens.operators.lines import CANDIDATE, candidate, none
 from ledgerlens.operators.resolve import resolve
+from ledgerlens.plans.runtime import Stages
 
 # Keys that a reply may have before the fields.
 PREAMBLE = ("issuer_country", "date_format")
@@ -66,10 +67,12 @@ def cascade(df: DataFrame, replies: DataFrame, key: str = "request_key", pages:
     unusable reply leaves the own fields and a warning. Each side is scored against the whole document first, and what is chosen is
     scored again. ``replies`` has ``request_key`` and ``text``; it is a table like any other, joined by a shuffle unless it is small.
     """
-    need = df.withColumn("_need", needs_reply())
+    # Scoring is a large plan, so each of its three rounds starts from a table: documents are written once for each.
+    stages = Stages(df.sparkSession)
+    need = stages.cut(df.withColumn("_need", needs_reply()))
     one = replies.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("text").alias("_reply"))
     asked = need.where("_need").join(one, key, "left").withColumn("_theirs", reply_candidates(F.col("_reply")))
-    theirs = resolve(asked, "_theirs", pages, "_their_fields")
+    theirs = stages.cut(resolve(asked, "_theirs", pages, "_their_fields"))
     usable = F.col("_theirs").isNotNull()
     better = [
         F.when(usable & (F.col(f"_their_fields.{f}.confidence") >= F.col(f"fields.{f}.confidence")), F.col(f"_theirs.{f}")).otherwise(F.col(f"candidates.{f}")).alias(f)
