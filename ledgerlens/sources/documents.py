@@ -68,7 +68,7 @@ def from_requests(df: DataFrame, body: str = "body") -> DataFrame:
     r = F.from_json(F.col(body), REQUEST)
     doc = r["document"]
     content = F.try_to_binary(doc["base64"], F.lit("base64"))
-    date = F.try_to_date(r["reference_date"], F.lit("yyyy-MM-dd"))
+    date = F.try_to_date(r["reference_date"], "yyyy-MM-dd")
     known = F.size(F.array_except(keys, F.array(F.lit("document"), F.lit("config"), F.lit("reference_date")))) == 0
     one = doc["text"].isNotNull() != doc["base64"].isNotNull()
     fine = (
