@@ -13,7 +13,7 @@ from ledgerlens.operators import labels, metrics, moments, replies
 from ledgerlens.operators.lines import block_flags, lines_of, paired_rows
 from ledgerlens.operators.resolve import extract
 from ledgerlens.plans.render import invoices
-from ledgerlens.plans.runtime import table
+from ledgerlens.plans.runtime import spread, table
 from ledgerlens.sources import documents as sources
 from ledgerlens.sources.tables import upsert
 from ledgerlens.streaming.monitor import windowed
@@ -23,7 +23,7 @@ Spark = SparkSession
 
 def extracted(spark: Spark, folder: str) -> DataFrame:
     """Text in, ten typed fields out, on invoices rendered from all orders."""
-    done = extract(invoices(spark, folder))
+    done = extract(spread(invoices(spark, folder)))
     value = lambda f: F.col(f"fields.{f}.value").cast("decimal(18,2)") if f in AMOUNT_FIELDS else F.col(f"fields.{f}.value")
     least = F.array_min(F.array(*[F.col(f"fields.{f}.confidence") for f in FIELDS]))
     return done.select("o_orderkey", *[value(f).alias(f) for f in FIELDS], least.alias("least_confidence"))
@@ -116,7 +116,7 @@ def reply_misses(spark: Spark, folder: str) -> DataFrame:
 
 def hybrid(spark: Spark, folder: str) -> DataFrame:
     """The cascade over rendered invoices: those in the third layout lose their total line, and every second one of them has a reply."""
-    df = invoices(spark, folder)
+    df = spread(invoices(spark, folder))
     cut = F.transform("pages", lambda p: F.regexp_replace(p, r"(?s)SUMMARY.*$", ""))
     df = df.withColumn("pages", F.when(F.col("layout") == 2, cut).otherwise(F.col("pages"))).withColumn("request_key", F.md5(F.col("o_orderkey").cast("string")))
     found = lambda v: F.struct(F.lit(v).alias("value"), F.lit(v).alias("evidence"))
