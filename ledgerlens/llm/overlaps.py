@@ -15,6 +15,8 @@ from ledgerlens.plans.runtime import Stages, table
 COSINE = 0.5
 #: Rows of one inverted list that one task reads at most; longer lists are cut, and probed piece by piece.
 LIST = 5_000
+#: Letters of a number that is taken to be of one invoice whatever its date.
+LONG = 7
 FIELDS = ("supplier_name", "invoice_number", "invoice_date", "total_amount", "currency", "tax_id", "subtotal_amount", "tax_amount", "customer_name", "customer_tax_id")
 AMOUNTS = ("total_amount", "subtotal_amount", "tax_amount")
 
@@ -117,10 +119,15 @@ def cosine_join(spark: SparkSession, vectors: DataFrame, least: float, stages: S
     return candidates.join(vector("train", "a"), "a").join(vector("eval", "b"), "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= least)
 
 
+def day_month(x: Column, y: Column) -> Column:
+    """Whether two dates in figures differ by day and month in exchanged places."""
+    return (F.length(x) == 8) & (F.concat(F.substring(x, 1, 4), F.substring(x, 7, 2), F.substring(x, 5, 2)) == y)
+
+
 def same_invoice() -> Column:
     """Whether the labels ``x`` and ``y`` describe one invoice.
 
-    Equal numbers need parties that agree, and an equal, missing or mistyped date, or an equal total under a long number. A number with a
+    Equal numbers need parties that agree, and an equal, missing or mistyped date and an amount other than zero, or an equal total under a long number. A number with a
     slip needs an equal date. With a missing number, date, total and parties must agree.
     """
     x, y = (lambda k: F.col(f"x.{k}")), (lambda k: F.col(f"y.{k}"))
@@ -130,12 +137,14 @@ def same_invoice() -> Column:
     equal = lambda k: false(x(k) == y(k))
     either_null = lambda k: x(k).isNull() | y(k).isNull()
     number, date = equal("number"), equal("date")
-    long_number = false(F.length(x("number")) >= 7)
+    long_number = false(F.length(x("number")) >= LONG)
     number_slip = ~number & (near("number", 1) | swapped("number")) & false(F.least(F.length(x("number")), F.length(y("number"))) >= 3)
-    day_month = false((F.length(x("date")) == 8) & (F.concat(F.substring(x("date"), 1, 4), F.substring(x("date"), 7, 2), F.substring(x("date"), 5, 2)) == y("date")))
-    date_slip = either_null("date") | near("date", 1) | swapped("date") | day_month
+    exchanged = false(day_month(x("date"), y("date")))
+    date_slip = either_null("date") | near("date", 1) | swapped("date") | exchanged
     money = lambda k: false(F.abs(F.abs(x(k)) - F.abs(y(k))) <= 0.02) | false((F.abs(x(k) - y(k)) <= 0.5) & ((x(k) == F.round(x(k))) | (y(k) == F.round(y(k)))))
     amounts = reduce(lambda a, b: a + b, [money(k).cast("int") for k in AMOUNTS])
+    # Taxes of zero agree between most invoices and prove nothing where the date differs.
+    paid = reduce(lambda a, b: a + b, [(money(k) & false((x(k) != 0) | (y(k) != 0))).cast("int") for k in AMOUNTS])
     tax = near("tax_id", 1) | swapped("tax_id")
     # A slip or two, a blank at another place or a legal form left out.
     name = lambda k: false(F.levenshtein(x(k), y(k)) <= F.greatest(F.lit(3), F.length(x(k)) / 4))
@@ -147,16 +156,83 @@ def same_invoice() -> Column:
     total = money("total_amount")
     return (
         (number & date & parties & ((amounts >= 1) | either_null("total_amount") | long_number))
-        | (number & date_slip & parties & (amounts >= 1))
+        | (number & date_slip & parties & (paid >= 1))
         | (number & long_number & parties & (total | (amounts >= 2)))
         | (number_slip & date & parties & (amounts >= 1))
         | (either_null("number") & date & parties & (total | (amounts >= 2)))
     )
 
 
+def hashed(kind: str, *parts: Column) -> Column:
+    """A key of one ``kind``, null if a part is null. Two keys that fall together only add a candidate."""
+    return F.when(reduce(lambda a, b: a & b, [p.isNotNull() for p in parts]), F.xxhash64(F.lit(kind), *parts))
+
+
+def slip_keys(kept: str, slipped: str) -> Column:
+    """Keys of which two strings share one if ``kept`` is equal and ``slipped`` has one letter changed, added or lost, or the same letters in another order."""
+    whole, letters = F.col(slipped), F.array_join(F.array_sort(F.split(slipped, "")), "")
+    without = lambda i: F.concat(F.substring(whole, F.lit(1), i - 1), F.substring(whole, i + 1, F.length(whole)))
+    less = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(whole))), lambda i: F.xxhash64(F.lit("less"), F.col(kept), without(i)))
+    return F.array_distinct(F.concat(F.array(F.xxhash64(F.lit("less"), F.col(kept), whole), F.xxhash64(F.lit("order"), F.col(kept), letters)), less))
+
+
+def slipped_nodes(nodes: DataFrame, kept: str, slipped: str) -> DataFrame:
+    """``(node, other)``: a (number, date) of train and one of eval with ``kept`` equal and a slip in ``slipped``."""
+    keyed = nodes.where(F.col(kept).isNotNull() & F.col(slipped).isNotNull()).select("*", F.explode(slip_keys(kept, slipped)).alias("key"))
+    x = keyed.where("in_train").select("key", "node", F.col(kept).alias("kx"), F.col(slipped).alias("sx"))
+    y = keyed.where("in_eval").select("key", F.col("node").alias("other"), F.col(kept).alias("ky"), F.col(slipped).alias("sy"))
+    slip = F.levenshtein("sx", "sy", 2).between(0, 2) | day_month(F.col("sx"), F.col("sy"))  # same_invoice() decides
+    return x.join(y, "key").where((F.col("kx") == F.col("ky")) & (F.col("sx") != F.col("sy")) & slip).select("node", "other").distinct()
+
+
+def linked(one: DataFrame, stages: Stages) -> DataFrame:
+    """``(a, b)``: all pairs of a train and an eval label that ``same_invoice()`` can accept, and others; no rarity, no threshold.
+
+    Each of its branches needs one of these: number and date equal, or one of them equal and a slip in the other; an
+    equal number beside a missing date, and one amount; an equal long number, or an equal date beside a missing number, and the
+    total or both other amounts. Slips are looked for among distinct (number, date). Equal amounts differ by a half at
+    most, so they lie in the same or the next whole number. Keys that many training rows have are cut into pieces of LIST rows.
+    """
+    one = one.withColumn("node", F.xxhash64("number", "date"))
+    pairs = F.col("number").isNotNull() & F.col("date").isNotNull()
+    nodes = stages.cut(one.where(pairs).groupBy("node", "number", "date").agg(F.bool_or(F.col("side") == "train").alias("in_train"), F.bool_or(F.col("side") == "eval").alias("in_eval")))
+    near = nodes.where("in_train and in_eval").select("node", F.col("node").alias("other"))
+    near = stages.cut(near.unionByName(slipped_nodes(nodes, "number", "date")).unionByName(slipped_nodes(nodes, "date", "number")).distinct())
+
+    def by_amount(kind: str, when: Column, base: Column, several: bool, probing: bool) -> Column:
+        """Keys by amounts: of one each, or of the total and of both others; the probing side has the neighbours too."""
+        whole = lambda k: F.array(F.floor(F.abs(F.col(k)) - 0.5), F.floor(F.abs(F.col(k)) + 0.5)) if probing else F.array(F.floor(F.abs(F.col(k))))
+        single = lambda k: F.transform(whole(k), lambda n: hashed(f"{kind} {k}", base, n))
+        both = F.flatten(F.transform(whole("subtotal_amount"), lambda n: F.transform(whole("tax_amount"), lambda m: hashed(f"{kind} both", base, n, m))))
+        keys = F.concat(single("total_amount"), both) if several else F.concat(*map(single, AMOUNTS))
+        return F.when(when, keys).otherwise(F.array().cast("array<bigint>"))
+
+    number, date = F.col("number"), F.col("date")
+    every = F.lit(True)
+
+    def keys(side: str) -> DataFrame:
+        probing = side == "eval"
+        # A missing field is on the train side (t) or on the eval side (e), and anything is on the other.
+        gone = lambda c, where: c.isNull() if where == side else every
+        all_keys = [by_amount("long", F.length("number") >= LONG, number, True, probing)]
+        for where in ("train", "eval"):
+            all_keys.append(by_amount(f"no date, {where}", gone(date, where), number, False, probing))
+            all_keys.append(by_amount(f"no number, {where}", gone(number, where), date, True, probing))
+        return one.where(F.col("side") == side).select("cid", F.explode(F.array_distinct(F.array_compact(F.concat(*all_keys)))).alias("key"))
+
+    rows = lambda side: one.where(pairs & (F.col("side") == side)).select("cid", "node")
+    index = stages.cut(rows("train").select("cid", F.col("node").alias("key")).unionByName(keys("train")))
+    asked = rows("eval").withColumnRenamed("node", "other").join(near, "other").select("cid", F.col("node").alias("key")).unionByName(keys("eval"))
+    pieces = index.groupBy("key").agg(F.ceil(F.count("*") / LIST).cast("int").alias("pieces"))
+    index = index.join(pieces, "key").select(F.col("cid").alias("a"), "key", F.pmod(F.xxhash64("cid"), F.col("pieces")).cast("int").alias("piece"))
+    asked = asked.join(pieces, "key").select(F.col("cid").alias("b"), "key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
+    return index.join(asked, ["key", "piece"]).select("a", "b")
+
+
 def overlaps(spark: SparkSession, cases: DataFrame, least: float = COSINE) -> DataFrame:
     """``(case_a, case_b, split, source, cosine)``: one row for each pair of a training case and an evaluation case of one invoice.
 
+    Candidates are the pairs of the cosine join and all others that the check by field can accept; their ``cosine``, below ``least``, is null.
     ``split`` and ``source`` are those of the evaluation case. Null labels and null fields agree with nothing; empty tables
     give an empty result; other columns are not read.
     """
@@ -164,6 +240,8 @@ def overlaps(spark: SparkSession, cases: DataFrame, least: float = COSINE) -> Da
     rows = stages.cut(classes(labels(cases)))
     one = rows.dropDuplicates(["cid", "side"])
     close = cosine_join(spark, stages.cut(terms(one)), least, stages)
+    rest = linked(one, stages).select("a", "b", F.lit(None).cast("double").alias("cosine"))
+    close = close.unionByName(rest).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
     fields = F.struct(*KEYS)
     train = one.where("side = 'train'").select(F.col("cid").alias("a"), fields.alias("x"))
     evaluated = one.where("side = 'eval'").select(F.col("cid").alias("b"), fields.alias("y"))

@@ -67,3 +67,43 @@ def test_cosine_join_against_brute_force(spark):
         O.LIST = old
     assert len(want) > 20 and {(g["a"], g["b"]) for g in got} == set(want)
     assert all(abs(g["cosine"] - want[g["a"], g["b"]]) < 1e-9 for g in got)
+
+
+def test_slipped_copies_of_one_invoice_in_a_third_of_all_rows(spark):
+    r = random.Random(7)
+    letters = "abcdefghjkmnpqrtuvwxy3467"
+
+    def slip(text):
+        k = r.randrange(len(text))
+        return r.choice([text[:k] + r.choice(letters) + text[k + 1 :], text[:k] + text[k + 1 :], text[:k] + r.choice(letters) + text[k:], text[:k] + text[k + 1 : k + 2] + text[k] + text[k + 2 :]])
+
+    names = [n for n in (f.split(":")[0] for f in E[7:-1].split(",")) if n not in ("currency", "verdict")]
+    other = lambda n, k: {"invoice_date": f"2024-{k % 12 + 1:02}-{k % 28 + 1:02}"}.get(n, str(k * 7) + ".50" if "amount" in n else f"{n[:3]}{k} {n[-3:]}{k * 31}")
+    one = [label(**{n: r.choice([slip, slip, slip, lambda _: None])(dict(zip([f.split(":")[0] for f in E[7:-1].split(",")], BASE))[n]) for n in r.sample(names, 2)}) for _ in range(90)]
+    # No word, date or amount is equal to the letter, yet number, parties and total agree.
+    one += [label(), label(supplier_name="Gokemm Foodz Ltdd", tax_id=None, invoice_date="2021-11-30", total_amount="120.01", subtotal_amount=None, tax_amount=None, customer_name=None, customer_tax_id=None)]
+    one += [label(invoice_number=None, total_amount="120.4"), label(invoice_number=None, total_amount="-120.00"), label(invoice_date=None, total_amount="3", tax_amount="20.02")]
+    one += [label(invoice_number="A-7", invoice_date=d, total_amount=t) for d, t in (("2024-01-12", "3"), ("2024-12-01", "4"), (None, "5"), ("2024-12-01", None))]
+    cases = [(f"c{k}", "train" if k % 2 else "dev", "s", lab) for k, lab in enumerate(one + [label(**{n: other(n, k) for n in names}) for k in range(1, 191)])]
+    df = spark.createDataFrame(rows(*cases), f"case_id string, split string, source string, expected {E}, loaded_at string")
+    lab = O.labels(df).cache()
+    x, y = (lab.where(f"side = '{s}'").select(O.F.col("case_id").alias(n), O.F.struct(*O.KEYS).alias(v)) for s, n, v in (("train", "a", "x"), ("eval", "b", "y")))
+    whole = x.crossJoin(y).where(O.same_invoice()).select("a", "b").cache()
+    want = {(min(p), max(p)) for p in whole.collect()}
+    cid = O.classes(lab).select("case_id", "cid")
+    pairs = whole.join(cid.toDF("a", "x"), "a").join(cid.toDF("b", "y"), "b").select("x", "y").distinct()
+    old, O.LIST = O.LIST, 5
+    try:
+        reached = O.linked(O.classes(lab).dropDuplicates(["cid", "side"]), Stages(spark)).toDF("x", "y")
+        assert pairs.join(reached, ["x", "y"], "left_anti").count() == 0
+        got = [(p["case_a"], p["case_b"]) for p in O.overlaps(spark, df).collect()]
+    finally:
+        O.LIST = old
+    assert len(want) > 1000 and len(got) == len(set(got)) and set(got) == want
+
+
+def test_taxes_of_zero_prove_nothing_on_another_day(spark):
+    other = label(invoice_number="7", invoice_date="2024-03-06", total_amount="9", subtotal_amount=None, tax_amount="0.00")
+    cases = [("a", "train", "s", label(invoice_number="7", tax_amount="0.00")), ("b", "dev", "s", other)]
+    df = spark.createDataFrame(rows(*cases), f"case_id string, split string, source string, expected {E}, loaded_at string")
+    assert O.overlaps(spark, df).count() == 0
