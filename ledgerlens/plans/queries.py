@@ -63,10 +63,18 @@ def normalised(spark: Spark, folder: str) -> DataFrame:
 
 
 def candidate_values(spark: Spark, folder: str) -> DataFrame:
-    """Amounts, tax ids and names of all candidates, typed, with the flags of their format."""
+    """Amounts, tax ids and names of all candidates, typed, with the flags of their format.
+
+    ``amount``, ``ambiguous`` and ``token`` are of the last amount of a total, ``amounts`` has all; dates are in ``candidate_dates``.
+    """
     c = table(spark, folder, "candidates").where("candidate_id is not null").select("candidate_id", "field", "raw").distinct()
-    found = c.where("field = 'total_amount'").withColumn("a", F.try_element_at(A.find_amounts(F.col("raw")), F.lit(-1)))
-    return found.select("candidate_id", F.col("a.value").cast("decimal(18,2)").alias("amount"), F.col("a.ambiguous").alias("ambiguous"), F.col("a.token").alias("token"))
+    of = lambda field, typed: F.when(F.col("field") == field, typed)
+    found = c.where(F.col("field").isin("total_amount", "tax_id", "supplier_name")).withColumn("amounts", of("total_amount", A.find_amounts(F.col("raw"))))
+    found = found.withColumn("a", F.try_element_at("amounts", F.lit(-1)))
+    return found.select(
+        "candidate_id", F.col("a.value").cast("decimal(18,2)").alias("amount"), F.col("a.ambiguous").alias("ambiguous"), F.col("a.token").alias("token"),
+        "field", "amounts", of("tax_id", A.normalize_tax_id(F.col("raw"))).alias("tax_id"), of("supplier_name", T.normalize_text(F.col("raw"))).alias("name"),
+    )
 
 
 def date_values(spark: Spark, folder: str) -> DataFrame:

@@ -115,3 +115,18 @@ def test_stream_equals_batch(spark, tmp_path):
     plain = monitor.run(monitor.stream_of(spark, str(tmp_path / "in"), "k int, t timestamp, kind string"), str(tmp_path / "o2"), str(tmp_path / "c2"))
     plain.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "o2")).count() == 9
+
+
+def test_candidates_of_every_field_are_typed(spark, tmp_path):
+    from ledgerlens.plans.queries import candidate_values
+
+    data = [(1, "total_amount", "net 100.00 total 119.00"), (2, "tax_id", " de 123.456.789"), (3, "supplier_name", " Acme  Ltd; "), (3, "supplier_name", " Acme  Ltd; "), (4, "total_amount", "n/a"), (5, "invoice_date", "2024-01-02"), (6, "tax_id", None)]
+    spark.createDataFrame(data, "candidate_id long, field string, raw string").write.parquet(f"{tmp_path}/candidates.parquet")
+    got = {r["candidate_id"]: (r["field"], str(r["amount"]), [a["token"] for a in r["amounts"] or []], r["tax_id"], r["name"]) for r in candidate_values(spark, str(tmp_path)).collect()}
+    assert got == {
+        1: ("total_amount", "119.00", ["100.00", "119.00"], None, None),
+        2: ("tax_id", "None", [], "DE123456789", None),
+        3: ("supplier_name", "None", [], None, "Acme Ltd"),
+        4: ("total_amount", "None", [], None, None),
+        6: ("tax_id", "None", [], None, None),
+    }
