@@ -9,7 +9,11 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+#: Rows of one key from which on the key is taken for hot and cut into pieces, and how many keys may be hot. A key that is not
+#: among the HOT_KEYS most frequent ones has less than one HOT_KEYS-th of all rows.
+HOT_ROWS, HOT_KEYS = 20_000, 1_000
 #: A side is broadcast only if its rows were counted and are at most this many (of at most a few hundred bytes each).
 BROADCAST_ROWS = 20_000
 
@@ -40,13 +44,14 @@ class Stages:
         self.spark, self.root = spark, f"{shared_folder(spark)}/stages-{uuid.uuid4().hex}"
         self.count = 0
 
-    def cut(self, df: DataFrame) -> DataFrame:
-        """``df`` written as Parquet and read back."""
+    def cut(self, df: DataFrame, *done: DataFrame) -> DataFrame:
+        """``df`` written as Parquet and read back; the staged tables ``done``, which nothing else reads, are deleted then."""
         self.count += 1
         path = f"{self.root}/{self.count}"
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         read = self.spark.read.schema(df.schema).parquet(path)
         read._stage_path = path
+        self.drop(*done)
         return read
 
     def drop(self, *dfs: DataFrame) -> None:
@@ -84,3 +89,19 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if its files make fewer tasks than that, else as it is: for rows that cost much more than they weigh."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+
+
+def with_value(rows: DataFrame, values: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined (inner or left) with ``values``, however unequal the keys of ``rows`` are.
+
+    ``values`` has one row a key, and in ``weight`` about how many rows of ``rows`` have it. The most frequent keys are cut
+    into pieces of HOT_ROWS rows by the hash of the other columns, and their values are repeated for each piece; the list of
+    those keys, at most HOT_KEYS, is broadcast. Null keys find no value. All stays lazy.
+    """
+    top = values.where(F.col(weight) > HOT_ROWS).orderBy(F.desc(weight), key).limit(HOT_KEYS)
+    hot = F.broadcast(top.select(key, F.ceil(F.col(weight) / HOT_ROWS).cast("int").alias("_pieces")))
+    other = [c for c in rows.columns if c != key]
+    pieces = F.coalesce("_pieces", F.lit(1))
+    left = rows.join(hot, key, "left").withColumn("_piece", F.when(pieces > 1, F.pmod(F.xxhash64(*other), pieces)).otherwise(0).cast("int"))
+    right = values.join(hot, key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return left.drop("_pieces").join(right.drop("_pieces"), [key, "_piece"], how).drop("_piece")
