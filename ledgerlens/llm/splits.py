@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.components import components, with_value
-from ledgerlens.plans.runtime import Stages, table
+from ledgerlens.llm.components import components
+from ledgerlens.plans.runtime import Stages, table, with_value
 
 #: Groups with more than 1/LARGE of all cases are placed one by one; there are at most LARGE of them.
 LARGE = 10_000
@@ -66,7 +66,7 @@ def case_groups(spark: SparkSession, cases: DataFrame) -> DataFrame:
     )
     # A case with neither partner in the graph keeps its own key; the least id of a group is a map-side combined minimum.
     least = named.groupBy("comp").agg(F.min("case_id").alias("group_id"), F.count("*").alias("members"))
-    return with_value(named, stages.cut(least), "comp", "members", stages).select("case_id", "group_id", "members")
+    return with_value(named, stages.cut(least), "comp", "members").select("case_id", "group_id", "members")
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:

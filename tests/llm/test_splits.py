@@ -60,3 +60,30 @@ def test_assignment_keeps_proportions(spark):
         total[groups.get(r["group_id"]) or ranges[r["r"]]] += r["members"]
     n = sum(total.values())
     assert all(abs(total[k] / n - v) < 0.002 for k, v in S.SHARES.items())
+
+
+def test_chains_and_large_hubs(spark, monkeypatch):
+    """A chain of many steps, and a hub with 10 ** 6 leaves of which some lie in a second ring: hot keys are cut into pieces."""
+    from pyspark.sql import functions as F
+
+    chain = spark.range(200).select(F.format_string("c%04d", "id").alias("a"), F.format_string("c%04d", F.col("id") + 1).alias("b"))
+    hub = spark.range(1_000_000).select(F.lit("hub").alias("a"), F.format_string("h%07d", "id").alias("b"))
+    ring = spark.range(20_000).select(F.format_string("h%07d", "id").alias("a"), F.format_string("h%07d", F.col("id") + 20_000).alias("b"))
+    got = components(spark, chain.union(hub).union(ring), small=50).cache()
+    sizes = got.groupBy("comp").count().collect()
+    assert sorted(r["count"] for r in sizes) == [201, 1_000_001]
+    got.unpersist()
+
+
+def test_join_with_hot_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from ledgerlens.plans import runtime
+
+    monkeypatch.setattr(runtime, "HOT_ROWS", 50)
+    rows = spark.range(4_000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 1000 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), F.col("id") % 7)).alias("key"))
+    values = rows.where("key is not null").groupBy("key").agg(F.count("*").alias("n"), F.max("id").alias("top")).where("key <> 'k3'")
+    for how in ("inner", "left"):
+        plain = rows.join(values, "key", how).select("id", "key", "n", "top")
+        got = runtime.with_value(rows, values, "key", "n", how).select("id", "key", "n", "top")
+        assert got.count() == plain.count() and got.exceptAll(plain).count() == 0
