@@ -105,3 +105,19 @@ def with_value(rows: DataFrame, values: DataFrame, key: str, weight: str, how: s
     left = rows.join(hot, key, "left").withColumn("_piece", F.when(pieces > 1, F.pmod(F.xxhash64(*other), pieces)).otherwise(0).cast("int"))
     right = values.join(hot, key, "left").withColumn("_piece", F.explode(F.sequence(F.lit(0), pieces - 1)))
     return left.drop("_pieces").join(right.drop("_pieces"), [key, "_piece"], how).drop("_piece")
+
+
+def first_delivery(df: DataFrame, key: str, by: str, columns: list[str], stages: Stages, last: bool = False) -> DataFrame:
+    """``key`` and ``columns`` of each key once: of the row with the least ``by`` (the greatest if ``last``).
+
+    Of equal ``by`` the least (greatest) row by its columns holds, one with a ``by`` before one without. Null keys are left out.
+    Keys are counted alone first, and only the rows of those that came several times are sorted out; their keys are broadcast if
+    they were counted and are few, else all rows are shuffled by the key once.
+    """
+    rows = df.where(F.col(key).isNotNull()).select(key, by, *[c for c in columns if c not in (key, by)])
+    again = stages.cut(rows.groupBy(key).agg(F.count("*").alias("n")).where("n > 1").select(key))
+    hint = F.broadcast(again) if is_small(again) else again
+    kept = F.struct(F.col(by).isNull() if not last else F.col(by).isNotNull(), by, *[F.col(c) for c in columns if c != by])
+    pick = (F.max if last else F.min)(kept).alias("r")
+    several = rows.join(hint, key, "left_semi").groupBy(key).agg(pick).select(key, *[F.col(f"r.{c}").alias(c) for c in columns])
+    return rows.join(hint, key, "left_anti").select(key, *columns).unionByName(several)
