@@ -9,16 +9,21 @@ from pyspark.sql import functions as F
 
 from ledgerlens.functions.words import ACCENTED, UNACCENTED
 from ledgerlens.llm.splits import source_key
-from ledgerlens.plans.runtime import Stages, table
+from ledgerlens.plans.runtime import HOT_KEYS, Stages, first_delivery, is_small, table
 
 #: Least cosine of two labels that are compared field by field.
-COSINE = 0.5
-#: Rows of one inverted list that one task reads at most; longer lists are cut, and probed piece by piece.
+COSINE = 0.72
+#: Rows of one inverted list that one task reads at most; longer lists are cut on both sides.
 LIST = 5_000
 #: Letters of a number that is taken to be of one invoice whatever its date.
 LONG = 7
 FIELDS = ("supplier_name", "invoice_number", "invoice_date", "total_amount", "currency", "tax_id", "subtotal_amount", "tax_amount", "customer_name", "customer_tax_id")
 AMOUNTS = ("total_amount", "subtotal_amount", "tax_amount")
+#: Squared weight of each field, in the order in which they are indexed: amounts first, for numbers recur among unrelated invoices.
+#: Weights are fixed, so that neither the number of rows nor a group of near-copies changes a cosine.
+WEIGHTS = {
+    "total_amount": 2.5, "subtotal_amount": 2.0, "tax_amount": 1.5, "number": 2.0, "date": 1.5, "customer_tax_id": 1.0, "customer": 1.0, "tax_id": 0.5, "supplier": 0.5,
+}
 
 
 def plain(text: Column) -> Column:
@@ -33,19 +38,14 @@ def amount(text: Column) -> Column:
     return F.regexp_replace(text, r"[^0-9.\-]", "").try_cast("decimal(18,4)")
 
 
-def labels(cases: DataFrame) -> DataFrame:
+def labels(cases: DataFrame, stages: Stages) -> DataFrame:
     """``case_id, side (train or eval), split, source`` and the fields of ``expected`` in one form.
 
     Of a case delivered several times the last delivery holds. Cases with another or no split are left out, and so are
     those with neither number nor date, which nothing could prove to be the same invoice.
     """
-    last = (
-        cases.where("case_id is not null")
-        .groupBy("case_id")
-        .agg(F.max_by(F.struct("split", "source", *[F.col(f"expected.{f}").alias(f) for f in FIELDS]), F.struct("loaded_at", "split")).alias("r"))
-        .select("case_id", "r.*")
-        .where(F.col("split").isin("train", "dev", "test"))
-    )
+    flat = cases.select("case_id", "loaded_at", "split", "source", *[F.col(f"expected.{f}").alias(f) for f in FIELDS])
+    last = first_delivery(flat, "case_id", "loaded_at", ["split", "source", *FIELDS], stages, last=True).where(F.col("split").isin("train", "dev", "test"))
     # Letters and figures that are taken for each other become one; what a copy adds goes.
     number = F.translate(F.regexp_replace(plain(F.col("invoice_number")), r"\(?\bcopy\b\)?|\(?\bcopia\b\)?", ""), "oilsbz", "011582")
     date = F.regexp_extract("invoice_date", r"^\s*(\d{4}[-/.]?\d{2}[-/.]?\d{2})", 1)
@@ -65,58 +65,76 @@ KEYS = ("number", "date", *AMOUNTS, "tax_id", "customer_tax_id", "currency", "su
 
 
 def classes(rows: DataFrame) -> DataFrame:
-    """Adds ``cid``: equal for cases whose labels are equal in every field, so that copies are compared once."""
-    return rows.withColumn("cid", F.sha2(F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in KEYS]), 256))
+    """Adds ``cid``, 16 bytes: equal for cases whose labels are equal in every field, so that copies are compared once."""
+    whole = F.concat_ws("\u0001", *[F.coalesce(F.col(k).cast("string"), F.lit("\u0002")) for k in KEYS])
+    return rows.withColumn("cid", F.unhex(F.md5(whole)))
+
 
+def vector() -> Column:
+    """``ARRAY<STRUCT<kind, term, w>>`` of a label, of length one: each field is a term, names are a term for each word; amounts of zero are none."""
+    there = {f: F.col(f).isNotNull() & (F.col(f) != 0) if f in AMOUNTS else F.col(f).isNotNull() for f in WEIGHTS}
+    square = reduce(lambda a, b: a + b, [F.when(there[f], w).otherwise(0.0) for f, w in WEIGHTS.items()])
 
-def terms(one: DataFrame) -> DataFrame:
-    """``(cid, side, term)``: each field is a term, names are a term for each word."""
-    single = [F.concat(F.lit(f"{k}:"), F.col(k).cast("string")) for k in KEYS if k not in ("supplier", "customer", "currency")]
-    word = lambda k: F.transform(F.split(k, " "), lambda w: F.concat(F.lit(f"{k}:"), w))
-    several = [word(k) for k in ("supplier", "customer")]
-    every = F.array_distinct(F.concat(F.array(*single), *[F.coalesce(s, F.array().cast("array<string>")) for s in several]))
-    return one.select("cid", "side", F.explode(F.filter(every, lambda t: t.isNotNull())).alias("term"))
+    def one(kind: int, field: str) -> Column:
+        c, made = F.col(field), lambda x, w: F.struct(F.lit(kind).alias("kind"), F.xxhash64(F.lit(field), x).alias("term"), F.sqrt(w / square).alias("w"))
+        if field in ("supplier", "customer"):
+            words = F.array_distinct(F.split(c, " "))
+            return F.transform(words, lambda w: made(w, F.lit(WEIGHTS[field]) / F.size(words)))
+        return F.when(there[field], F.array(made(c, F.lit(WEIGHTS[field]))))
 
+    none = F.array().cast("array<struct<kind:int,term:bigint,w:double>>")
+    return F.concat(*[F.coalesce(one(k, f), none) for k, f in enumerate(WEIGHTS)])
 
-def cosine_join(spark: SparkSession, vectors: DataFrame, least: float, stages: Stages) -> DataFrame:
-    """``(a, b, cosine)``: pairs of a ``train`` and an ``eval`` vector with a cosine of at least ``least``.
 
-    ``vectors`` has ``cid, side, term``, once each. Terms weigh the logarithm of their rarity, vectors have length one.
-    Terms are in one global order, rare ones first. A vector is indexed by its first terms only, up to where what remains can
-    give no more than ``least``: neither by the norm of the remaining weights, nor by their sum against the greatest weight
-    that each term has on the other side. Two vectors with that cosine share an indexed term of both, so no
-    pair is lost; for the candidates the whole dot product is taken. Inverted lists of the training side
-    are cut into pieces of LIST rows that are probed apart, so no term is a burden to one task.
+def cosine_join(rows: DataFrame, least: float, stages: Stages) -> DataFrame:
+    """``(a, b, cosine, x, y)``: pairs of a ``train`` and an ``eval`` row with a cosine of at least ``least`` or a link in common.
+
+    ``rows`` is a staged table of ``cid, side, x, v ARRAY<STRUCT<kind, term, w>>, links ARRAY<BIGINT>``, each ``(cid, side)`` once;
+    ``x`` comes out for both sides. Vectors have length one; a term is of one kind. Terms are in one global order: those of the longest lists
+    last, all others by kind. A vector is indexed by its first terms only, up to where what remains can give no more than ``least``:
+    neither by the norm of the remaining weights, nor by their sum against the greatest weight that terms of their kind have on
+    the other side. Two vectors with that cosine share an indexed term of both, so no pair is lost; links are
+    listed whole. For all candidates the exact dot product is taken. Lists of more than LIST rows are cut on both
+    sides, and each piece of the one meets each piece of the other, so no term is a burden to one task.
     """
-    df = vectors.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("side") == "train").alias("n_train"))
-    total = vectors.agg(F.count_distinct("cid")).first()[0] or 1
-    weighed = vectors.join(df, "term").withColumn("raw", F.log1p(F.lit(float(total)) / F.col("df")))
-    # A term that only one side has can be in no dot product but counts for the length.
-    norms = weighed.groupBy("cid", "side").agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    unit = stages.cut(weighed.join(norms, ["cid", "side"]).select("cid", "side", "term", "df", "n_train", (F.col("raw") / F.col("norm")).alias("w")))
-    shared = unit.where("n_train > 0 and n_train < df")
-    most = shared.groupBy("term").agg(
-        F.max(F.when(F.col("side") == "train", F.col("w"))).alias("max_train"), F.max(F.when(F.col("side") == "eval", F.col("w"))).alias("max_eval")
-    )
-    other = F.when(F.col("side") == "train", F.col("max_eval")).otherwise(F.col("max_train"))
-    listed = shared.join(most, "term").groupBy("cid", "side").agg(
-        F.array_sort(F.collect_list(F.struct("df", "term", "w", F.coalesce(other, F.lit(0.0)).alias("m"), "n_train"))).alias("v")
-    )  # a vector has as many terms as a label has fields and words
-    tail = lambda i: F.slice("v", i + 1, F.size("v"))
-    left = lambda i: F.least(
-        F.sqrt(F.aggregate(tail(i), F.lit(0.0), lambda s, t: s + t["w"] * t["w"])), F.aggregate(tail(i), F.lit(0.0), lambda s, t: s + t["w"] * t["m"])
+    counted = rows.select("side", F.inline("v")).groupBy("term").agg(
+        F.count("*").alias("n"), F.max("kind").alias("kind"), *[F.max(F.when(F.col("side") == s, F.col("w"))).alias(s) for s in ("train", "eval")]
     )
-    ranked = listed.withColumn("indexed", F.filter("v", lambda t, i: left(i) >= least - 1e-9))
-    listed = stages.cut(ranked.select("cid", "side", "indexed", F.transform("v", lambda t: F.struct(t["term"].alias("term"), t["w"].alias("w"))).alias("v")))
-    probe = listed.select("cid", "side", F.explode("indexed").alias("t")).select(
-        "cid", "side", "t.term", F.greatest(F.lit(1), F.ceil(F.col("t.n_train") / LIST)).cast("int").alias("pieces")
-    )
-    index = probe.where("side = 'train'").select(F.col("cid").alias("a"), "term", F.pmod(F.xxhash64("cid"), F.col("pieces")).cast("int").alias("piece"))
-    asked = probe.where("side = 'eval'").select(F.col("cid").alias("b"), "term", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-    candidates = stages.cut(index.join(asked, ["term", "piece"]).select("a", "b").distinct())
-    vector = lambda side, name: listed.where(F.col("side") == side).select(F.col("cid").alias(name), F.map_from_entries("v").alias(f"v{name}"))
-    dot = F.aggregate(F.map_entries("va"), F.lit(0.0), lambda s, e: s + e["value"] * F.coalesce(F.try_element_at(F.col("vb"), e["key"]), F.lit(0.0)))
-    return candidates.join(vector("train", "a"), "a").join(vector("eval", "b"), "b").select("a", "b", dot.alias("cosine")).where(F.col("cosine") >= least)
+    counted = stages.cut(counted)
+    most = {r["kind"]: r for r in counted.groupBy("kind").agg(F.max("train").alias("train"), F.max("eval").alias("eval")).collect()}  # one row a kind
+    longest = counted.where(F.col("n") > LIST).orderBy(F.desc("n"), "term").limit(HOT_KEYS)
+    hot = longest.groupBy().agg(F.coalesce(F.collect_list("term"), F.array().cast("array<bigint>")).alias("hot"))  # one row
+    other = {"train": "eval", "eval": "train"}
+    of_kind = lambda side: F.create_map(*[F.lit(x) for k, r in most.items() for x in (k, float(r[other[side]] or 0))]) if most else F.lit(None).cast("map<int,double>")
+    bound = F.when(F.col("side") == "train", of_kind("train")).otherwise(of_kind("eval"))
+    greatest = lambda t: F.coalesce(F.try_element_at(bound, t["kind"]), F.lit(0.0))
+    # Last terms first; a term is indexed if it and those after it can still give ``least``.
+    order = F.transform("v", lambda t: F.struct(F.array_contains("hot", t["term"]).alias("hot"), t["kind"].alias("kind"), t["term"].alias("term"), t["w"].alias("w"), greatest(t).alias("m")))
+    start = F.struct(F.lit(0.0).alias("square"), F.lit(0.0).alias("sum"), F.array().cast("array<bigint>").alias("kept"))
+
+    def step(s: Column, t: Column) -> Column:
+        square, total = s["square"] + t["w"] * t["w"], s["sum"] + t["w"] * t["m"]
+        fits = F.least(F.sqrt(square), total) >= least - 1e-9
+        return F.struct(square.alias("square"), total.alias("sum"), F.when(fits, F.array_append(s["kept"], t["term"])).otherwise(s["kept"]).alias("kept"))
+
+    indexed = F.aggregate(F.reverse(F.array_sort(order)), start, step)["kept"]
+    ready = rows.crossJoin(F.broadcast(hot)).withColumn("keys", F.array_distinct(F.concat(indexed, "links")))
+    listed = stages.cut(ready.select("cid", "side", F.explode("keys").alias("key")))
+    sizes = listed.groupBy("key").agg(*[F.ceil(F.count_if(F.col("side") == s) / LIST).cast("int").alias(s) for s in other])
+    long = stages.cut(sizes.where("train > 0 and eval > 0 and train + eval > 2"))
+    cut = listed.join(F.broadcast(long) if is_small(long) else long, "key", "left")
+    pieces = lambda side: F.coalesce(F.col(side), F.lit(1))
+    mine = lambda side: F.pmod(F.xxhash64("cid"), pieces(side)).cast("int")
+    every = lambda side: F.explode(F.sequence(F.lit(0), pieces(side) - 1))
+    index = cut.where("side = 'train'").select(F.col("cid").alias("a"), "key", mine("train").alias("i"), every("eval").alias("j"))
+    asked = cut.where("side = 'eval'").select(F.col("cid").alias("b"), "key", every("train").alias("i"), mine("eval").alias("j"))
+    pairs = index.join(asked, ["key", "i", "j"]).select("a", "b").distinct()
+    of = lambda side, cid, v: rows.where(F.col("side") == side).select(F.col("cid").alias(cid), F.col("v").alias(v), F.col("links").alias(f"l{v}"))
+    both = pairs.join(of("train", "a", "va"), "a").join(of("eval", "b", "vb"), "b")
+    dot = F.aggregate("va", F.lit(0.0), lambda s, t: s + t["w"] * F.coalesce(F.get(F.filter("vb", lambda u: u["term"] == t["term"]), F.lit(0))["w"], F.lit(0.0)))
+    near = both.select("a", "b", dot.alias("cosine"), F.arrays_overlap("lva", "lvb").alias("linked")).where((F.col("cosine") >= least - 1e-9) | F.col("linked"))
+    value = lambda side, cid, x: rows.where(F.col("side") == side).select(F.col("cid").alias(cid), F.col("x").alias(x))
+    return near.select("a", "b", "cosine").join(value("train", "a", "x"), "a").join(value("eval", "b", "y"), "b")
 
 
 def day_month(x: Column, y: Column) -> Column:
@@ -176,76 +194,44 @@ def slip_keys(kept: str, slipped: str) -> Column:
     return F.array_distinct(F.concat(F.array(F.xxhash64(F.lit("less"), F.col(kept), whole), F.xxhash64(F.lit("order"), F.col(kept), letters)), less))
 
 
-def slipped_nodes(nodes: DataFrame, kept: str, slipped: str) -> DataFrame:
-    """``(node, other)``: a (number, date) of train and one of eval with ``kept`` equal and a slip in ``slipped``."""
-    keyed = nodes.where(F.col(kept).isNotNull() & F.col(slipped).isNotNull()).select("*", F.explode(slip_keys(kept, slipped)).alias("key"))
-    x = keyed.where("in_train").select("key", "node", F.col(kept).alias("kx"), F.col(slipped).alias("sx"))
-    y = keyed.where("in_eval").select("key", F.col("node").alias("other"), F.col(kept).alias("ky"), F.col(slipped).alias("sy"))
-    slip = F.levenshtein("sx", "sy", 2).between(0, 2) | day_month(F.col("sx"), F.col("sy"))  # same_invoice() decides
-    return x.join(y, "key").where((F.col("kx") == F.col("ky")) & (F.col("sx") != F.col("sy")) & slip).select("node", "other").distinct()
+def link_keys() -> Column:
+    """``ARRAY<BIGINT>``: of any two labels of a train and an eval row that ``same_invoice()`` can accept, both have one of these
+    keys; there is no rarity and no threshold.
 
+    Its branches need one of these: an equal number and the date or one amount; an equal date and a slip in the number; an equal date
+    beside a missing number, and the total or both other amounts. Equal amounts differ by a half at most, so they lie in the same
+    or the next whole number.
+    """
+    number, date, probing = F.col("number"), F.col("date"), F.col("side") == "eval"
+    none = F.array().cast("array<bigint>")
+    # The probing side has the neighbours too.
+    near = lambda k: F.when(probing, F.array(F.floor(F.abs(F.col(k)) - 0.5), F.floor(F.abs(F.col(k)) + 0.5))).otherwise(F.array(F.floor(F.abs(F.col(k)))))
+    whole = {k: near(k) for k in AMOUNTS}
+    by_number = [F.transform(whole[k], lambda n, k=k: hashed(f"number {k}", number, n)) for k in AMOUNTS]
 
-def linked(one: DataFrame, stages: Stages) -> DataFrame:
-    """``(a, b)``: all pairs of a train and an eval label that ``same_invoice()`` can accept, and others; no rarity, no threshold.
+    def by_date(kind: str) -> Column:
+        total = F.transform(whole["total_amount"], lambda n: hashed(f"{kind} total", date, n))
+        both = F.flatten(F.transform(whole["subtotal_amount"], lambda n: F.transform(whole["tax_amount"], lambda m: hashed(f"{kind} both", date, n, m))))
+        return F.concat(F.coalesce(total, none), F.coalesce(both, none))
 
-    Each of its branches needs one of these: number and date equal, or one of them equal and a slip in the other; an
-    equal number beside a missing date, and one amount; an equal long number, or an equal date beside a missing number, and the
-    total or both other amounts. Slips are looked for among distinct (number, date). Equal amounts differ by a half at
-    most, so they lie in the same or the next whole number. Keys that many training rows have are cut into pieces of LIST rows.
-    """
-    one = one.withColumn("node", F.xxhash64("number", "date"))
-    pairs = F.col("number").isNotNull() & F.col("date").isNotNull()
-    nodes = stages.cut(one.where(pairs).groupBy("node", "number", "date").agg(F.bool_or(F.col("side") == "train").alias("in_train"), F.bool_or(F.col("side") == "eval").alias("in_eval")))
-    near = nodes.where("in_train and in_eval").select("node", F.col("node").alias("other"))
-    near = stages.cut(near.unionByName(slipped_nodes(nodes, "number", "date")).unionByName(slipped_nodes(nodes, "date", "number")).distinct())
-
-    def by_amount(kind: str, when: Column, base: Column, several: bool, probing: bool) -> Column:
-        """Keys by amounts: of one each, or of the total and of both others; the probing side has the neighbours too."""
-        whole = lambda k: F.array(F.floor(F.abs(F.col(k)) - 0.5), F.floor(F.abs(F.col(k)) + 0.5)) if probing else F.array(F.floor(F.abs(F.col(k))))
-        single = lambda k: F.transform(whole(k), lambda n: hashed(f"{kind} {k}", base, n))
-        both = F.flatten(F.transform(whole("subtotal_amount"), lambda n: F.transform(whole("tax_amount"), lambda m: hashed(f"{kind} both", base, n, m))))
-        keys = F.concat(single("total_amount"), both) if several else F.concat(*map(single, AMOUNTS))
-        return F.when(when, keys).otherwise(F.array().cast("array<bigint>"))
-
-    number, date = F.col("number"), F.col("date")
-    every = F.lit(True)
-
-    def keys(side: str) -> DataFrame:
-        probing = side == "eval"
-        # A missing field is on the train side (t) or on the eval side (e), and anything is on the other.
-        gone = lambda c, where: c.isNull() if where == side else every
-        all_keys = [by_amount("long", F.length("number") >= LONG, number, True, probing)]
-        for where in ("train", "eval"):
-            all_keys.append(by_amount(f"no date, {where}", gone(date, where), number, False, probing))
-            all_keys.append(by_amount(f"no number, {where}", gone(number, where), date, True, probing))
-        return one.where(F.col("side") == side).select("cid", F.explode(F.array_distinct(F.array_compact(F.concat(*all_keys)))).alias("key"))
-
-    rows = lambda side: one.where(pairs & (F.col("side") == side)).select("cid", "node")
-    index = stages.cut(rows("train").select("cid", F.col("node").alias("key")).unionByName(keys("train")))
-    asked = rows("eval").withColumnRenamed("node", "other").join(near, "other").select("cid", F.col("node").alias("key")).unionByName(keys("eval"))
-    pieces = index.groupBy("key").agg(F.ceil(F.count("*") / LIST).cast("int").alias("pieces"))
-    index = index.join(pieces, "key").select(F.col("cid").alias("a"), "key", F.pmod(F.xxhash64("cid"), F.col("pieces")).cast("int").alias("piece"))
-    asked = asked.join(pieces, "key").select(F.col("cid").alias("b"), "key", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"))
-    return index.join(asked, ["key", "piece"]).select("a", "b")
+    # A number is missing on the train side or on the eval side, and anything is on the other.
+    gone = lambda side: F.when((F.col("side") != side) | number.isNull(), by_date(f"no number, {side}")).otherwise(none)
+    slips = F.when(number.isNotNull() & date.isNotNull(), slip_keys("date", "number")).otherwise(none)
+    return F.array_distinct(F.array_compact(F.concat(slips, *[F.coalesce(k, none) for k in by_number], gone("train"), gone("eval"))))
 
 
 def overlaps(spark: SparkSession, cases: DataFrame, least: float = COSINE) -> DataFrame:
     """``(case_a, case_b, split, source, cosine)``: one row for each pair of a training case and an evaluation case of one invoice.
 
-    Candidates are the pairs of the cosine join and all others that the check by field can accept; their ``cosine``, below ``least``, is null.
+    Candidates are the pairs of the cosine join and all others that the check by field can accept, whatever their cosine.
     ``split`` and ``source`` are those of the evaluation case. Null labels and null fields agree with nothing; empty tables
     give an empty result; other columns are not read.
     """
     stages = Stages(spark)
-    rows = stages.cut(classes(labels(cases)))
-    one = rows.dropDuplicates(["cid", "side"])
-    close = cosine_join(spark, stages.cut(terms(one)), least, stages)
-    rest = linked(one, stages).select("a", "b", F.lit(None).cast("double").alias("cosine"))
-    close = close.unionByName(rest).groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    fields = F.struct(*KEYS)
-    train = one.where("side = 'train'").select(F.col("cid").alias("a"), fields.alias("x"))
-    evaluated = one.where("side = 'eval'").select(F.col("cid").alias("b"), fields.alias("y"))
-    same = stages.cut(close.join(train, "a").join(evaluated, "b").where(same_invoice()).select("a", "b", "cosine"))
+    rows = stages.cut(classes(labels(cases, stages)))
+    one = stages.cut(rows.dropDuplicates(["cid", "side"]).drop("case_id", "split", "source"))
+    ready = stages.cut(one.select("cid", "side", F.struct(*KEYS).alias("x"), vector().alias("v"), link_keys().alias("links")), one)
+    same = stages.cut(cosine_join(ready, least, stages).where(same_invoice()).select("a", "b", "cosine"), ready)
     members = lambda side, key, name: rows.where(F.col("side") == side).select(F.col("cid").alias(key), F.col("case_id").alias(name), *(["split", "source"] if side == "eval" else []))
     pairs = same.join(members("train", "a", "t"), "a").join(members("eval", "b", "e"), "b")
     return pairs.select(F.least("t", "e").alias("case_a"), F.greatest("t", "e").alias("case_b"), "split", "source", "cosine")
