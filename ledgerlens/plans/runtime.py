@@ -85,10 +85,12 @@ def is_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores if its files make fewer tasks than that, else as it is: for rows that cost much more than they weigh."""
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` over all cores if its files make fewer tasks than that, else as it is: for rows that cost much more than they weigh.
+
+    Rows with equal ``keys`` then stay together."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(2 * cores)
+    return df if df.rdd.getNumPartitions() >= cores and not keys else df.repartition(max(2 * cores, df.rdd.getNumPartitions()), *keys)
 
 
 def with_value(rows: DataFrame, values: DataFrame, key: str, weight: str, how: str = "inner") -> DataFrame:
