@@ -1,5 +1,3 @@
-import string
-
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,8 +39,10 @@ def test_phonetic_ignores_usual_slips():
     assert N.phonetic("霧渡灯") == "霧渡灯"
 
 
-FILL = [*string.ascii_lowercase]
+LONG = "".join(c + "aeiou"[k % 5] for k, c in enumerate("bdfgklmnprstvbdfgklmnprstvbdfgklmnprst"))
 REGISTER = [
+    (7, "Северянко Packaging Ltd", "organisation", "Mont X"),
+    (8, f"{LONG.title()} Consulting S.A.", "organisation", "Mont X"),
     (1, "Velimku Packaging Ltd", "organisation", "Upper Furorvon"),
     (2, "Bidrowo Consulting Sp. z o.o.", "organisation", "Villa Secogro"),
     (3, "Bidrowo Furniture Sp. z o.o.", "organisation", "Villa Secogro"),
@@ -60,7 +60,11 @@ CASES = {
     "Velimku Pkg Limited": 1, "PACKAGING VELIMCU LTD - UPPER FURORVON": 1, "VelimkuPackaging": 1, "Vеlimku Packaging Ltd": 1,
     "Furn. Bidroow Spółka z o.o.": 3, "Bidrowo Sp. z o.o.": None, "Bidrowo Trading": None, "Doro Padrexdax": 4, "Padrëksdax, D.": 4,
     "Mr Alex L. Padrëxdax": 5, "Katharina Padrëxdax": None, "Velimku Packaging Ltd": None, "": None, "Ltd": None, "Moebelw. Baldrun": 6,
-    "Zorkbbul Padkaging": 100, "x" * 20_000: None,
+    "Zorkbbul Padkaging": 100, "x" * 20_000: None, " ".join(["Velimku", *[f"trading{k}" for k in range(2_000)]]): None,
+    # Slips in other scripts and in words of any length.
+    "Северянинко Packaging Ltd": 7, "Севернянко Packaging": 7, LONG[:20] + "v" + LONG[21:] + " Consulting SA": 8, LONG[:9] + LONG[10:60] + LONG[61:] + " Consulting": 8,
+    # Only by way of the variant before it.
+    "Bidrowo Consulting": 2, "Drogaminu Furniture AG": None,
 }
 
 
@@ -73,3 +77,18 @@ def test_query_cases(spark):
     assert {(k, p) for k, _, p in got} == {(k, p) for k, p in enumerate(CASES.values()) if p}
     assert N.find(spark, e.limit(0), p).count() == 0
     assert N.find(spark, e, p.limit(0)).count() == 0
+
+
+def test_variants_of_variants():
+    reg = N.Register(["packaging", "furniture"], ["dorothea", "alexander"])
+    assert N.alike("Velimku Packaging Ltd", "Packaging VELIMCU", reg) and N.alike("Velimkur Packaging", "Velimku Pkg", reg) is False
+    assert N.alike("Doro Padrexdax", "Padrexdax Dorothea", reg) and not N.alike("Alexander Padrexdax", "Dorothea Padrexdax", reg)
+    assert not N.alike("Velimku Packaging", "Velimku Furniture", reg) and not N.alike("Velimku", "Velimko", reg) and not N.alike("Velimku", "Velimku Bidrowo", reg)
+    keys = set(N.whole_keys("Velimkur Packaging"))
+    assert keys & set(N.whole_keys("Packaging Velimku GmbH")) and not keys & set(N.whole_keys("Bidrowo Furniture"))
+
+
+def test_words_are_found_as_if_compared_with_each():
+    words = N.Words(["packaging", "logistics", "consulting", "foods", "северянко"])
+    for w in ("packagin", "pakkaging", "lojistics", "fods", "x", "", "consultng", "phoods", "северянка", "x" * 500):
+        assert words.like(w) == {b: N.same_word(w, b) for b, *_ in words.words if N.same_word(w, b)}
