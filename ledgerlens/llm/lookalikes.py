@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import sys
 import unicodedata
 from collections.abc import Callable, Iterator, Mapping
 
@@ -11,13 +13,14 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.plans.runtime import is_small, ship_code, table
+from ledgerlens.plans.runtime import Stages, is_small, ship_code, table, with_value
 
-# Letters of other scripts that are drawn like a Latin letter of the same case.
+# Letters of other scripts that are drawn like a Latin letter of the same case: Cyrillic, Greek, Armenian, Coptic,
+# Cherokee, Lisu and Deseret letters, as the public list of confusable characters (Unicode Technical Standard 39) has them.
 LETTERS = {
-    "A": "АΑ", "B": "ВΒ", "C": "СϹ", "E": "ЕΕ", "F": "Ϝ", "G": "Ԍ", "H": "НΗ", "I": "ІΙ", "J": "ЈͿ", "K": "КΚ", "M": "МΜ", "N": "Ν",
-    "O": "ОΟՕ", "P": "РΡ", "Q": "Ԛ", "S": "ЅՏ", "T": "ТΤ", "U": "Ս", "V": "Ѵ", "W": "Ԝ", "X": "ХΧ", "Y": "ҮΥ", "Z": "Ζ",
-    "a": "аα", "c": "сϲ", "d": "ԁ", "e": "е", "g": "ց", "h": "һհ", "i": "іι", "j": "јϳ", "k": "κ", "l": "ӏ", "n": "ո", "o": "оοօ", "p": "рρ",
+    "A": "АΑꓮᎪⲀ", "B": "ВΒꓐᏴⲂ", "C": "СϹꓚᏟⲤ", "D": "ꓓᎠ", "E": "ЕΕꓰᎬ", "F": "Ϝꓝ", "G": "ԌꓖᏀ", "H": "НΗꓧᎻⲎ", "I": "ІΙꓲⲒ", "J": "ЈͿꓙᎫ", "K": "КΚꓗᏦⲔ", "L": "ꓡᏞ",
+    "M": "МΜꓟᎷⲘ", "N": "ΝꓠⲚ", "O": "ОΟՕꓳⲞ𐐄", "P": "РΡꓑᏢⲢ", "Q": "Ԛ", "R": "ꓣᎡ", "S": "ЅՏꓢᏚ", "T": "ТΤꓔᎢⲦ", "U": "Սꓴ", "V": "ѴꓦᏙ", "W": "ԜꓪᎳ", "X": "ХΧꓫⲬ", "Y": "ҮΥꓬⲨ", "Z": "ΖꓜᏃⲌ",
+    "a": "аα", "c": "сϲⲥ", "d": "ԁ", "e": "е", "g": "ց", "h": "һհ", "i": "іι", "j": "јϳ", "k": "κ", "l": "ӏ", "n": "ո", "o": "оοօⲟ𐐬", "p": "рρⲣ",
     "q": "ԛզ", "s": "ѕ", "u": "υս", "v": "νѵ", "w": "ԝ", "x": "хχ", "y": "уүγ",
 }
 # Blanks other than the plain one, marks that are drawn as a hyphen, and code points without a picture.
@@ -27,18 +30,20 @@ INVISIBLE = (0x00AD, 0x034F, 0x061C, 0x115F, 0x1160, 0x17B4, 0x17B5, 0x180E, 0x3
 INVISIBLE_RANGES = ((0x180B, 0x180D), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F))
 
 
+@functools.lru_cache(1)
 def pairs() -> list[tuple[str, str]]:
     """Strings that look the same, from the fixed values above and from the decompositions of the character database.
 
     Of those only the ones that keep the picture count: canonical ones, width, blanks and ligatures of letters. A
-    superscript, a fraction or a letter in a circle looks different.
+    superscript, a fraction or a letter in a circle looks different. Letters and figures in another cut of type (``<font>``) look
+    the same. All planes are covered.
     """
     found = [(a, b) for a, others in LETTERS.items() for b in others]
     latin = {b: a for a, b in found}
     found += [("-", x) for x in HYPHENS]
     found += [("", chr(c)) for c in INVISIBLE]
     found += [("", chr(c)) for a, b in INVISIBLE_RANGES for c in range(a, b + 1)]
-    for code in range(0xA0, 0x10000):
+    for code in range(0xA0, sys.maxunicode + 1):
         c = chr(code)
         kind, _, _ = (d := unicodedata.decomposition(c)).partition("> ")
         if not d or 0xAC00 <= code < 0xD7A4:
@@ -47,7 +52,7 @@ def pairs() -> list[tuple[str, str]]:
             found.append((c, unicodedata.normalize("NFD", c)))
             found.append((c, "".join(latin.get(x, x) for x in unicodedata.normalize("NFD", c))))
             found.append((c, unicodedata.normalize("NFC", c)))
-        elif kind in ("<wide", "<narrow", "<noBreak"):
+        elif kind in ("<wide", "<narrow", "<noBreak", "<font"):
             found.append((c, unicodedata.normalize("NFKC", c)))
         elif kind == "<compat" and (code in BLANKS or 0xFB00 <= code <= 0xFB06 or 0x132 <= code <= 0x133 or 0x1C7 <= code <= 0x1CC or 0x1F1 <= code <= 0x1F3):
             found.append((c, unicodedata.normalize("NFKC", c)))
@@ -111,15 +116,20 @@ class Rewriter:
         text = text.strip(self.ends)
         if self.gone is not None:
             text = self.gone.sub("", text)
-        for _ in range(8) if self.filled else ():
+        if not self.filled:
+            return text
+        seen: dict[str, int] = {}
+        while text not in seen:
+            seen[text] = len(seen)
             out, at = [], 0
             for end, (size, new) in self.automaton.iter_long(text):
                 out += (text[at : end + 1 - size], new)
                 at = end + 1
             if not out:
-                break
+                return text
             text = "".join(out) + text[at:]
-        return text
+        # Forms that lead to each other in a circle are one: the first of them by code point.
+        return min(list(seen)[seen[text] :])
 
 
 def rewrite_column(spark: SparkSession, to: Mapping[str, str]) -> Callable[[Column], Column]:
@@ -172,9 +182,11 @@ def forms(spark: SparkSession, extractions: DataFrame, parties: DataFrame) -> tu
 
 
 def p4_forms(spark: SparkSession, folder: str) -> DataFrame:
-    """``(extraction_id, field, value, form)`` of every value."""
+    """``(extraction_id, field, value, form)`` of every value; each distinct value is rewritten once."""
+    stages = Stages(spark)
     rows, rewrite = forms(spark, table(spark, folder, "extractions"), table(spark, folder, "parties"))
-    return rows.select("extraction_id", "field", "value", rewrite("value").alias("form"))
+    form = stages.cut(rows.groupBy("value").agg(F.count("*").alias("n")).withColumn("form", rewrite("value")))
+    return with_value(rows, form, "value", "n").select("extraction_id", "field", "value", "form")
 
 
 def find(spark: SparkSession, extractions: DataFrame, parties: DataFrame) -> DataFrame:
@@ -186,15 +198,17 @@ def find(spark: SparkSession, extractions: DataFrame, parties: DataFrame) -> Dat
     register = known.select("party_id", "kind", "known", rewrite("known").alias("form"))
     hint = F.broadcast if is_small(parties) else lambda x: x
     kind = F.when(F.col("field") == "tax_id", "tax_id").otherwise("name")
-    # Only distinct values are rewritten.
+    # Values that are registered go first, the most frequent ones are among them; of all others only distinct ones are rewritten.
+    rows = rows.withColumn("kind", kind).join(hint(register.select("kind", F.col("known").alias("value"))), ["kind", "value"], "left_anti")
+    key = F.concat_ws(" ", "kind", "value")
     looked = (
-        rows.select(kind.alias("kind"), "value").distinct()
-        .join(hint(register.select("kind", F.col("known").alias("value"))), ["kind", "value"], "left_anti")
+        rows.groupBy("kind", "value").agg(F.count("*").alias("n"))
         .withColumn("form", rewrite("value"))
         .join(hint(register.select("kind", "form", "party_id")), ["kind", "form"])
-        .select("kind", "value", "party_id")
+        .groupBy(key.alias("key")).agg(F.max("n").alias("n"), F.collect_set("party_id").alias("ids"))  # at most the parties
     )
-    return rows.withColumn("kind", kind).join(looked, ["kind", "value"]).select("extraction_id", "field", "party_id").distinct()
+    found = with_value(rows.select("extraction_id", "field", key.alias("key")), Stages(spark).cut(looked), "key", "n")
+    return found.select("extraction_id", "field", F.explode("ids").alias("party_id")).distinct()
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:

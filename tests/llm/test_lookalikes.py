@@ -47,3 +47,13 @@ def test_query_cases(spark):
     got = {tuple(r) for r in L.find(spark, e, p).collect()}
     assert got == {(1, "customer_name", 7), (2, "supplier_name", 7), (2, "tax_id", 7)}
     assert L.find(spark, e.limit(0), p.limit(0)).count() == 0
+
+
+def test_long_chains_and_other_planes():
+    chain = {chr(0x4E00 + k): chr(0x4E00 + k + 1) for k in range(30)}
+    w = L.Rewriter(chain)
+    assert w(chr(0x4E00)) == chr(0x4E00 + 30)
+    around = L.Rewriter({"甲": "乙", "乙": "丙", "丙": "甲"})
+    assert around("甲") == around("乙") == around("丙")
+    same = L.Rewriter(L.representatives(COUNTS))
+    assert same("𝐂𝒉𝖺𝚛") == same("ꓚhаr") == same("Ꮯhar") == "Char" and same("𐐄x") == "Ox" and same("x²") != same("x2")
