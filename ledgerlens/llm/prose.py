@@ -8,20 +8,34 @@ import re
 LINE = re.compile(r"^\s*(?://+!?|#+!?|--+|;;+|%+|\*(?!/)|>|(?:[-+•]|\d+[.)])(?=\s))\s?")
 CODE_MARKS = re.compile(r"[={}\[\]<>_\\|@$^~`\"]|\w\(|;\s*$|[:;]\w|\d{4,}|^\s*\w+\s*:")
 TRAILING = re.compile(r"\s(?://|#|--)\s+(?=[A-Z])(.*)$")
-SENTENCE = re.compile(r"[^.!?]+[.!?](?=\s|$)")
-WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
+#: A sentence runs over marks that no blank follows (2.5, e.g., names of files); the last one of a text may lack its stop.
+SENTENCE = re.compile(r"(?:[^.!?]|[.!?](?!\s|$))+(?:[.!?]+|$)")
+WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*|,")
 # Frequent words of English and of its neighbours that are in no other list.
 ENGLISH = frozenset("the a an this that these those each every it its of is are was be been and or not to for with by from when because while if so as at on into until but now than then which who whose has have does do can may must will all no only most".split())
 OTHERS = frozenset(
     "el la los las un una de del que y en por para con se su es como al lo más der die das und ist ein eine einen den dem des nicht mit von zu auf für wird werden sich "
     "le les une et est dans pour sur par avec ne pas qui il di che e non per sono della nel o os da do em um uma não het een van niet voor op w z na jest nie się".split()
 )
-LEGAL = re.compile(
-    r"licen[cs]|copyright|copyleft|permission|warrant|liabilit|answers for no harm|promises nothing|redistribut|all rights reserved|sublicen|thirty days|breach|built form|changed copy|"
-    r"first work|these terms|as long as this notice|come as they are|notice stays with|spdx", re.I
-)
-MADE = re.compile(r"generated (?:by|from|file|code)|@generated|do not edit|auto-?generated|machine[- ]generated|schema ?press|checksum|sha-?256", re.I)
-TITLE = re.compile(r"^\s*(?:[#*/;-]+\s*)?(?:[A-Z][\w-]*\s+){0,6}(?:Licen[cs]e|LICEN[CS]E)\b.{0,30}$")
+# Words of licence notices and of headers of generated files, as public licences and generators have them, and the names of licence files.
+LEGAL = re.compile(r"licen[cs]e|copyright|copyleft|permission|warrant|liabilit|redistribut|all rights reserved|sublicen|merchantab|spdx", re.I)
+SURE = re.compile(r"copyright\s+(?:\(c\)|©|\d{4})|spdx-license|all rights reserved", re.I)
+MADE = re.compile(r"do not edit|@generated|(?:auto-?|machine[- ])generated|generated (?:by|from|file|code)", re.I)
+FILE = re.compile(r"(?:^|/)(?:licen[cs]e|copying|copyright|notice|unlicense)(?:[-_.][\w.-]*)?$", re.I)
+TITLE = re.compile(r"^\W*(?:[A-Z][\w-]*\s+){0,6}(?:Licen[cs]e|LICEN[CS]E)(?:,?\s+(?:v|[Vv]ersion\s+)?\d[\w., ]*)?\W*$")
+
+
+def is_licence(text: str, path: str | None = None) -> bool:
+    """Whether a document is a licence, by the name of its file or by its title."""
+    if path and FILE.search(path):
+        return True
+    head = next((x for x in text.split("\n") if x.strip()), "")
+    return bool(TITLE.match(head.strip("\ufeff \r")))
+
+
+def is_notice(piece: str) -> bool:
+    """Whether a block is the notice of a licence or the header of a generated file: one sure sign, or several legal words together."""
+    return bool(SURE.search(piece) or MADE.search(piece)) or len({m.lower() for m in LEGAL.findall(piece)}) >= 2
 
 
 def pieces(text: str) -> list[str]:
@@ -123,26 +137,21 @@ def english(words: list[str]) -> bool:
     return mine > 0 and mine > sum(w in OTHERS for w in words) and sum(not w.isascii() for w in words) * 4 < len(words)
 
 
-def sentences(text: str | None) -> list[list[str]]:
-    """The words, lower case, of each English sentence of explanatory prose.
+def sentences(text: str | None, path: str | None = None) -> list[list[str]]:
+    """The words, lower case, of each English sentence of explanatory prose; a comma is a word of its own.
 
-    Licence texts, headers of generated files, data, code and string literals give none, whole texts are read, and null,
-    empty and blank ones give an empty list.
+    Licence files, licence notices and headers of generated files as whole blocks, data, code and string literals give none, whole
+    texts are read, and null, empty and blank ones give an empty list.
     """
-    if not text or not text.strip():
-        return []
-    head = next((x for x in text.split("\n") if x.strip()), "")
-    if TITLE.match(head.strip("﻿ \r")) and len(LEGAL.findall(text)) >= 3:
+    if not text or not text.strip() or is_licence(text, path):
         return []
     found = []
     for piece in pieces(text):
-        if "." not in piece and "!" not in piece and "?" not in piece:
+        if ("." not in piece and "!" not in piece and "?" not in piece) or is_notice(piece):
             continue
         for m in SENTENCE.finditer(piece):
-            s = m[0]
-            if LEGAL.search(s) or MADE.search(s):
-                continue
-            words = [w.lower() for w in WORD.findall(s)]
+            parts = [w.lower() for w in WORD.findall(m[0])]
+            words = [w for w in parts if w != ","]
             if len(words) >= 3 and english(words):
-                found.append(words)
+                found.append(parts)
     return found

@@ -11,24 +11,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.prose import sentences
-from ledgerlens.plans.runtime import Stages, ship_code, table
+from ledgerlens.plans.runtime import Stages, is_small, ship_code, table, with_value
 
 #: Words of prose that a document needs.
 LEAST_WORDS = 40
 #: Ratings that the regression is fitted to: the first ones by hash of document and rater.
 MAX_RATINGS = 20_000
-#: Words whose frequency is kept; every other word counts as rare as the last of them.
+#: Words of a vocabulary that is sent to all workers; the counts of a larger one are joined.
 RANKED = 50_000
-#: Strength of the ridge penalty.
-RIDGE = 1.0
+#: Strengths of the ridge penalty, of which the one with the least loss on held-out ratings is taken, and the parts held out in turn.
+RIDGES, FOLDS = (0.1, 1.0, 10.0, 100.0), 5
 BANDS = (1, 2, 3, 4)
 
-# Words that join or subordinate clauses, and phrases that open formal sentences.
+# Words that join or subordinate clauses, and those that open a clause within another one.
 CONNECTIVES = frozenset(
     "because although whereas while when until unless since before after once though if so provided insofar inasmuch whereupon notwithstanding albeit lest whereby "
     "therefore however moreover furthermore consequently hence thus nevertheless nonetheless otherwise meanwhile accordingly".split()
 )
-FEATURES = ("sentence_length", "word_length", "long_words", "syllables", "diversity", "rarity", "connectives", "clauses")
+OPENERS = frozenset("that which who whom whose where why how whether because although whereas while when until unless since though if lest insofar inasmuch whereupon whereby provided albeit".split())
+FEATURES = ("sentence_length", "word_length", "long_words", "syllables", "diversity", "rarity", "connectives", "clauses", "commas")
+RARITY = FEATURES.index("rarity")
 
 
 def syllables(word: str) -> int:
@@ -41,24 +43,36 @@ def syllables(word: str) -> int:
     return max(1, n)
 
 
-def features(sents: list[list[str]], rarity: Mapping[str, float], floor: float) -> list[float]:
-    """The FEATURES of a document with at least one word. ``rarity`` is minus the log of a word's share, ``floor`` that of any other word."""
-    words = [w for s in sents for w in s]
+def depth(sent: list[str]) -> int:
+    """How many clauses are open at once at most: an opener after the first word opens one, a comma closes one."""
+    now = most = 0
+    for k, w in enumerate(sent):
+        if w == ",":
+            now = max(0, now - 1)
+        elif k and w in OPENERS:
+            now += 1
+            most = max(most, now)
+    return most
+
+
+def features(sents: list[list[str]], rarity: Mapping[str, float]) -> list[float]:
+    """The FEATURES of a document with at least one word. ``rarity`` is minus the log of a word's share; a word without one counts 0."""
+    words = [w for s in sents for w in s if w != ","]
     n = len(words)
     window = 40
-    # Distinct words in windows of equal length, so that long documents do not seem poor.
-    starts = range(0, max(1, n - window + 1), window // 2)
+    # Distinct words in windows of equal length, so that long documents do not seem poor; the last window ends at the last word.
+    starts = sorted({*range(0, max(1, n - window + 1), window // 2), max(0, n - window)})
     distinct = [len(set(words[k : k + window])) / len(words[k : k + window]) for k in starts]
-    joined = sum(w in CONNECTIVES for w in words)
     return [
         math.log(n / len(sents)),
         sum(map(len, words)) / n,
         sum(len(w) >= 9 for w in words) / n,
         sum(map(syllables, words)) / n,
         sum(distinct) / len(distinct),
-        sum(rarity.get(w, floor) for w in words) / n,
-        joined / n,
-        joined / len(sents),
+        sum(rarity.get(w, 0.0) for w in words) / n,
+        sum(w in CONNECTIVES for w in words) / n,
+        sum(map(depth, sents)) / len(sents),
+        sum(s.count(",") for s in sents) / len(sents),
     ]
 
 
@@ -69,7 +83,7 @@ class Ordinal:
         self.weights, self.cuts, self.mean, self.scale = weights, cuts, mean, scale
 
     @staticmethod
-    def fit(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int = 400) -> Ordinal:
+    def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 400) -> Ordinal:
         """Newton's method on the sum of the ``bands - 1`` binary losses that share ``w``; deterministic."""
         mean, scale = x.mean(0), x.std(0) + 1e-9
         z = (x - mean) / scale
@@ -98,16 +112,33 @@ class Ordinal:
         return 1 + (self.score(x)[:, None] > self.cuts[None, :]).sum(1)
 
 
+    def loss(self, x: np.ndarray, y: np.ndarray) -> float:
+        """Mean of minus the log of the chance of the true band."""
+        above = 1 / (1 + np.exp(-np.clip(self.score(x)[:, None] - self.cuts[None, :], -30, 30)))
+        edge = np.hstack([np.ones((len(x), 1)), above, np.zeros((len(x), 1))])
+        chance = edge[np.arange(len(x)), y - 1] - edge[np.arange(len(x)), y]
+        return float(-np.log(np.maximum(chance, 1e-6)).mean())
+
+
+def best_ridge(x: np.ndarray, y: np.ndarray) -> float:
+    """The ridge with the least loss on ratings held out in FOLDS turns; the first one if there are too few to hold any out."""
+    fold = np.arange(len(y)) % FOLDS
+    if any(len(set(y[fold != k].tolist())) < 2 for k in range(FOLDS)) or len(y) < 10 * FOLDS:
+        return RIDGES[1]
+    loss = {r: sum(Ordinal.fit(x[fold != k], y[fold != k], r).loss(x[fold == k], y[fold == k]) for k in range(FOLDS)) for r in RIDGES}
+    return min(RIDGES, key=lambda r: loss[r])
+
+
 def robust_fit(x: np.ndarray, y: np.ndarray, rounds: int = 3) -> Ordinal:
-    """Fits, leaves out ratings that are two bands or more off, and fits again: raters err at times."""
-    keep = np.ones(len(y), bool)
-    model = Ordinal.fit(x, y)
+    """Fits, leaves out ratings that are two bands or more off, and fits again, up to ``rounds`` times: raters err at times."""
+    ridge, keep = best_ridge(x, y), np.ones(len(y), bool)
+    model = Ordinal.fit(x, y, ridge)
     for _ in range(rounds):
         now = np.abs(model.band(x) - y) < 2
         if (now == keep).all() or now.sum() < 10:
             break
         keep = now
-        model = Ordinal.fit(x[keep], y[keep])
+        model = Ordinal.fit(x[keep], y[keep], ridge)
     return model
 
 
@@ -118,39 +149,44 @@ def prose_of(documents: DataFrame) -> DataFrame:
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for i, text in zip(batch["doc_id"], batch["text"]):
-                found = sentences(text)
+            for i, text, path in zip(batch["doc_id"], batch["text"], batch["path"]):
+                found = sentences(text, path)
                 if found:
-                    rows.append((i, sum(map(len, found)), "\n".join(map(" ".join, found))))
+                    rows.append((i, sum(len(s) - s.count(",") for s in found), "\n".join(map(" ".join, found))))
             yield pd.DataFrame(rows, columns=["doc_id", "words", "prose"])
 
-    return documents.where("doc_id is not null and text is not null").select("doc_id", "text").mapInPandas(task, "doc_id bigint, words bigint, prose string")
+    path = F.col("path") if "path" in documents.columns else F.lit(None).cast("string").alias("path")
+    return documents.where("doc_id is not null and text is not null").select("doc_id", "text", path).mapInPandas(task, "doc_id bigint, words bigint, prose string")
 
 
-def rarities(prose: DataFrame) -> tuple[dict[str, float], float]:
-    """Minus the log of the share of the RANKED most frequent words in the prose of all documents, and that of any other word."""
-    counted = prose.select(F.explode(F.split("prose", r"[ \n]")).alias("w")).groupBy("w").agg(F.count("*").alias("n"))
+def word_counts(prose: DataFrame) -> DataFrame:
+    """``(w, n, rarity)``: how often each word comes in the prose of all documents, and minus the log of its share."""
+    counted = prose.select(F.explode(F.split("prose", r"[ \n]")).alias("w")).where("w <> ','").groupBy("w").agg(F.count("*").alias("n"))
     total = prose.agg(F.sum("words")).first()[0] or 1
-    top = counted.orderBy(F.desc("n"), "w").limit(RANKED).collect()  # at most RANKED rows
-    least = top[-1]["n"] if len(top) == RANKED else 1
-    return {r["w"]: -math.log(r["n"] / total) for r in top}, -math.log(least / total)
+    return counted.withColumn("rarity", -F.log(F.col("n") / F.lit(float(total))))
 
 
-def measured(prose: DataFrame, rarity: Mapping[str, float], floor: float) -> DataFrame:
-    """``(doc_id, words, f)`` with the features of each document."""
-    known = prose.sparkSession.sparkContext.broadcast(dict(rarity))
+def measured(prose: DataFrame, counts: DataFrame, ranked: int = RANKED) -> DataFrame:
+    """``(doc_id, words, f)`` with the features of each document.
+
+    ``counts``, a staged table, goes to all workers if it has at most ``ranked`` rows; else the words of the documents are counted for
+    each document and joined with it, frequent words in pieces, and only their means come back. Both ways give the same features.
+    """
+    small = is_small(counts, ranked)
+    known = prose.sparkSession.sparkContext.broadcast({r["w"]: r["rarity"] for r in counts.collect()} if small else {})
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame(
-                {
-                    "doc_id": batch["doc_id"],
-                    "words": batch["words"],
-                    "f": [features([s.split(" ") for s in p.split("\n")], known.value, floor) for p in batch["prose"]],
-                }
-            )
+            yield batch.drop(columns="prose").assign(f=[features([s.split(" ") for s in p.split("\n")], known.value) for p in batch["prose"]])
 
-    return prose.mapInPandas(task, "doc_id bigint, words bigint, f array<double>")
+    if small:
+        return prose.mapInPandas(task, "doc_id bigint, words bigint, f array<double>")
+    keyed = prose.withColumn("h", F.xxhash64("prose"))
+    own = keyed.select("doc_id", "h", F.explode(F.split("prose", r"[ \n]")).alias("w")).where("w <> ','").groupBy("doc_id", "h", "w").agg(F.count("*").alias("times"))
+    # Of a document that is there twice the words were counted twice, and so was their number.
+    mean = with_value(own, counts, "w", "n").groupBy("doc_id", "h").agg((F.sum(F.col("times") * F.col("rarity")) / F.sum("times")).alias("mean"))
+    found = keyed.select("doc_id", "words", "prose", "h").mapInPandas(task, "doc_id bigint, words bigint, h bigint, f array<double>")
+    return found.join(mean, ["doc_id", "h"]).select("doc_id", "words", F.transform("f", lambda v, i: F.when(i == RARITY, F.col("mean")).otherwise(v)).alias("f"))
 
 
 def ratings(labels: DataFrame, most: int = MAX_RATINGS) -> DataFrame:
@@ -169,9 +205,9 @@ def levels(spark: SparkSession, documents: DataFrame, labels: DataFrame, least:
     stages = Stages(spark)
     prose = stages.cut(prose_of(documents))
     enough = prose.where(F.col("words") >= least)
-    rarity, floor = rarities(prose)
-    rows = stages.cut(measured(enough, rarity, floor))
-    sample = ratings(labels).join(rows.dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "band", "f").orderBy("doc_id", "band").collect()  # at most MAX_RATINGS rows
+    rows = stages.cut(measured(enough, stages.cut(word_counts(prose))))
+    rated = stages.cut(ratings(labels))  # at most MAX_RATINGS rows
+    sample = rated.join(rows.join(F.broadcast(rated.select("doc_id").distinct()), "doc_id", "left_semi").dropDuplicates(["doc_id"]), "doc_id").select("doc_id", "band", "f").orderBy("doc_id", "band").collect()  # at most MAX_RATINGS rows
     y = np.array([r["band"] for r in sample], int)
     if len(set(y.tolist())) < 2:
         return rows.select("doc_id", "words", F.lit(0).cast("bigint").alias("band"), F.lit(0.0).alias("score")).limit(0)

@@ -28,8 +28,11 @@ def test_comments_docstrings_and_documentation():
 def test_what_is_no_prose():
     assert words('log.info("This is the text of a string.");\n') == []
     assert words("x = '''\nThis is the text of a string.\n'''\n") == []
-    assert words("// Code generated by the tool; DO NOT EDIT.\n# SPDX-License-Identifier: It is a licence.\n") == []
-    assert words("Open Meadow Licence 2.0\n\nPermission to keep the files is given to anyone.\n\nThese terms end at once for the breach within thirty days.\nThe other text is here.\n") == []
+    assert words("// Code generated by the tool; DO NOT EDIT.\n// It is the header.\n\n# SPDX-License-Identifier: It is a licence.\n") == []
+    assert words("Open Meadow Licence 2.0\n\nKeep the files.\n\nThe other text is here.\n") == []
+    assert P.sentences("Keep the files as they are.", "vendor/LICENSE.txt") == [] != P.sentences("Keep the files as they are.", "docs/licences.md")
+    assert words("# Copyright (c) 2020 The owner of the file.\n# It is given as it is.\n\n# The file permission is kept.\n") == ["the file permission is kept"]
+    assert words("# The rate is 2.5 percent of it, e.g., for the page\n") == ["the rate is percent of it , e g , for the page"]
     assert words("// Der Satz ist nicht auf Englisch und die Seite ist das auch nicht.\n// La fila de los datos es una de las que se lee.\n") == []
     assert words("a,b,c\n1,2,3\nkey: The value is a text.\n") == []
     assert words(None) == words("") == words("  \n") == []
@@ -46,6 +49,18 @@ def test_ordinal_regression_recovers_bands():
     assert list(model.cuts) == sorted(model.cuts)
 
 
+def test_depth_of_clauses():
+    assert [R.depth(s.split()) for s in ("it reads the page", "it reads the page that the box holds", "the box that holds the page , which is here , stays", "it is said that he knows who did what because it is here")] == [0, 1, 1, 3]
+
+
+def test_a_large_vocabulary_gives_the_same_features(spark):
+    docs = spark.createDataFrame([(k, f"# It is the word{'abc'[k % 3]}, which the page number{'xyz'[k % 3]} holds.\n# The page is here.\n") for k in range(9)] + [(1, "# The page is here.\n")], "doc_id long, text string")
+    prose = R.prose_of(docs).cache()
+    counts = R.word_counts(prose).cache()
+    few, many = (sorted((r["doc_id"], r["words"], [round(v, 9) for v in r["f"]]) for r in R.measured(prose, counts, most).collect()) for most in (50_000, 2))
+    assert few == many and len(few) == 10 and all(f[R.RARITY] > 0 for _, _, f in few)
+
+
 def test_query(spark):
     r = random.Random(2)
 
