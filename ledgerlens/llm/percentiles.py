@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ledgerlens.plans.runtime import Stages, table
+from ledgerlens.plans.runtime import Stages, first_delivery, is_small, table
 
 #: Bits of the two digits that are followed. The first 32 bits of a double are its sign, its exponent and 20 bits of its
 #: fraction: whole numbers up to 2 ** 20 come out exactly, all others with a relative error of at most 2 ** -20.
@@ -76,7 +76,10 @@ def same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def select_ranks(counts: DataFrame, keys: list[str], ranks: tuple[float, ...], stages: Stages) -> DataFrame:
-    """``keys..., p, value, n`` from the sketch ``counts``, which may have finer keys than ``keys``.
+    """``keys..., p, value, n, error`` from the sketch ``counts``, which may have finer keys than ``keys``.
+
+    ``value`` is the lower border of a pair of digits; the true one is farther from zero by less than ``error``: 2 ** -20 of the power of
+    two below it, and 0 for whole numbers up to 2 ** 20.
 
     The first digit is histogrammed for each group; of the second one only the digits under a first digit that holds a
     rank are, so the other counts are dropped before they are added up.
@@ -91,58 +94,91 @@ def select_ranks(counts: DataFrame, keys: list[str], ranks: tuple[float, ...], s
     second = below.groupBy(*keys, "d1", F.col("d2").alias("digit")).agg(F.sum("n").alias("n"))
     last = follow(second, [*keys, "d1"], held)
     prefix = F.shiftleft(F.col("d1").cast("bigint"), DIGIT_BITS) + F.col("digit")
-    return same(last.select(*keys, "p", value_of(prefix, 64 - 2 * DIGIT_BITS).alias("value")), totals, keys)
+    value = value_of(prefix, 64 - 2 * DIGIT_BITS)
+    return same(last.select(*keys, "p", value.alias("value"), F.abs(value_of(prefix + F.when(prefix < 0, -1).otherwise(1), 64 - 2 * DIGIT_BITS) - value).alias("error")), totals, keys)
+
+
+def radix_select(values: DataFrame, keys: list[str], ranks: tuple[float, ...], stages: Stages, levels: tuple[tuple[str, ...], ...] | None = None) -> DataFrame:
+    """``level INT, keys..., p, value, n``: exact percentiles, digit by digit; ``values`` is a staged table of ``keys`` and ``_b``, ordered bits.
+
+    The first digit of all values is histogrammed. Each later digit is histogrammed only under the digits so far that hold
+    a rank of some group: all other values are dropped before they are counted. Counts are made for the finest groups and
+    added up for each of ``levels``, which are lists of some of the keys (all keys if none are given); keys that a level
+    has not are null. A group has at most 2 ** DIGIT_BITS digits in a round.
+    """
+    levels = levels or (tuple(keys),)
+    types = {f.name: f.dataType for f in values.schema.fields}
+    groups = F.array(*[F.struct(F.lit(k).alias("level"), *[(F.col(c) if c in level else F.lit(None).cast(types[c])).alias(c) for c in keys]) for k, level in enumerate(levels)])
+    all_keys = ["level", *keys]
+    held, totals = None, None
+    for k in range(64 // DIGIT_BITS):
+        shift = 64 - DIGIT_BITS * (k + 1)
+        prefix = F.shiftright("_b", shift + DIGIT_BITS) if k else F.lit(0).cast("bigint")
+        digit = F.shiftright("_b", shift) if k == 0 else F.shiftright("_b", shift).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1))
+        rows = values.select(*keys, prefix.alias("prefix"), digit.cast("int").alias("digit"))
+        if held is not None:
+            some = held.select("prefix").distinct()
+            rows = rows.join(F.broadcast(some) if is_small(some) else some, "prefix", "left_semi")
+        finest = rows.groupBy(*keys, "prefix", "digit").agg(F.count("*").alias("n"))
+        counts = finest.select(F.explode(groups).alias("g"), "prefix", "digit", "n").select("g.*", "prefix", "digit", "n")
+        if held is not None:
+            # What holds no rank of its group goes before the counts are added up.
+            some = held.select(*all_keys, "prefix").distinct()
+            counts = same(counts, F.broadcast(some) if is_small(some) else some, [*all_keys, "prefix"])
+        counts = stages.cut(counts.groupBy(*all_keys, "prefix", "digit").agg(F.sum("n").alias("n")))
+        if held is None:
+            totals = stages.cut(counts.groupBy(*all_keys).agg(F.sum("n").alias("n")))
+            held = totals.select(*all_keys, F.lit(0).cast("bigint").alias("prefix"), F.explode(F.array(*map(F.lit, ranks))).alias("p"), "n").select(
+                *all_keys, "prefix", "p", F.greatest(F.lit(1), F.ceil(F.round(F.col("p") * F.col("n"), 6))).cast("bigint").alias("rank")
+            )
+        last = follow(counts, [*all_keys, "prefix"], held)
+        longer = F.col("digit").cast("bigint") if k == 0 else F.shiftleft("prefix", DIGIT_BITS) + F.col("digit")
+        held = stages.cut(last.select(*all_keys, longer.alias("prefix"), "p", "rank"), counts)
+    return same(held.select(*all_keys, "p", value_of(F.col("prefix"), 0).alias("value")), totals, all_keys)
+
+
+def values_of(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys..., _b``: the ordered bits of all values; null and NaN are left out."""
+    x = F.col(value).cast("double")
+    return rows.where(x.isNotNull() & ~F.isnan(x)).select(*keys, ordered_bits(x).alias("_b"))
 
 
 def percentiles(rows: DataFrame, keys: list[str], value: str, ranks: tuple[float, ...] = RANKS, stages: Stages | None = None) -> DataFrame:
-    """``keys..., p, value, n``: the ``ceil(p * n)``-th smallest value of each group (the smallest for p = 0).
+    """``keys..., p, value, n``: the ``ceil(p * n)``-th smallest value of each group (the smallest for p = 0), exactly.
 
     Null keys are a group of their own; groups without values do not come out; ties are counted as often as they
-    come; an empty table gives an empty result; other columns do not matter. The result is exact for whole numbers up to
-    2 ** 20 in size and otherwise the lower border of a pair of digits: nearer to zero by at most 2 ** -20 of the value.
+    come; infinite values count as the largest finite one; an empty table gives an empty result; other columns do not matter.
+    Results of days or files are combined by the sketch of ``digits``, whose error ``select_ranks`` states.
     """
     stages = stages or Stages(rows.sparkSession)
-    return select_ranks(stages.cut(digits(rows, keys, value)), keys, ranks, stages)
+    return radix_select(stages.cut(values_of(rows, keys, value)), keys, ranks, stages).drop("level")
 
 
-def measurements(responses: DataFrame) -> DataFrame:
+def measurements(responses: DataFrame, stages: Stages) -> DataFrame:
     """``(model, day, metric, value)`` of each response once; null, 0 and -1 are lost and left out, time-outs stay.
 
     The day is that of ``logged_at`` in UTC. Of a response that came several times the first delivery holds.
     """
-    once = (
-        responses.where("response_id is not null")
-        .groupBy("response_id")
-        .agg(F.min_by(F.struct("model", F.to_date("logged_at").alias("day"), "latency_ms", "output_tokens"), "received_at").alias("r"))
-        .select("r.*")
-    )
+    plain = responses.select("response_id", "received_at", "model", F.to_date("logged_at").alias("day"), "latency_ms", "output_tokens")
+    once = first_delivery(plain, "response_id", "received_at", ["model", "day", "latency_ms", "output_tokens"], stages)
     pairs = F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in ("latency_ms", "output_tokens")])
     return once.select("model", "day", F.inline(pairs)).where("value > 0")
 
 
-LEVELS = (("model", "day"), ("model",), ("day",), ())
+LEVELS = (("model", "day", "metric"), ("model", "metric"), ("day", "metric"), ("metric",))
 
 
 def p6_percentiles(spark: SparkSession, folder: str) -> DataFrame:
-    """Percentiles of ``latency_ms`` and ``output_tokens`` by model and day, by model, by day and of all.
+    """Percentiles of ``latency_ms`` and ``output_tokens`` by model and day, by model, by day and of all, exactly.
 
     ``level`` names the grouping (a null model is a group too, so null alone would not tell); the wider levels
     combine the counts of the finest one.
     """
     stages = Stages(spark)
-    responses = table(spark, folder, "llm_responses").select("response_id", "model", "logged_at", "received_at", "latency_ms", "output_tokens")
-    counted = stages.cut(digits(measurements(responses), ["model", "day", "metric"], "value"))
-    out = None
-    for level in LEVELS:
-        keys = [*level, "metric"]
-        found = select_ranks(counted, keys, RANKS, stages)
-        wide = found.groupBy(*keys).agg(F.max("n").alias("n"), *[F.max(F.when(F.col("p") == p, F.col("value"))).alias(f"p{round(p * 100)}") for p in RANKS])
-        one = wide.select(
-            F.lit("_".join(level) or "all").alias("level"),
-            *[F.col(c) if c in level else F.lit(None).cast("string" if c == "model" else "date").alias(c) for c in ("model", "day")],
-            "metric",
-            "n",
-            *[F.col(f"p{round(p * 100)}").cast("bigint").alias(f"p{round(p * 100)}") for p in RANKS],
-        )
-        out = one if out is None else out.unionByName(one)
-    return out
+    keys = ["model", "day", "metric"]
+    values = stages.cut(values_of(measurements(table(spark, folder, "llm_responses"), stages), keys, "value"))
+    found = radix_select(values, keys, RANKS, stages, LEVELS)
+    at = {p: F.max(F.when(F.col("p") == p, F.col("value"))).cast("bigint").alias(f"p{round(p * 100)}") for p in RANKS}
+    wide = found.groupBy("level", *keys).agg(F.max("n").alias("n"), *at.values())
+    names = F.array(*[F.lit("_".join(x for x in level if x != "metric") or "all") for level in LEVELS])
+    return wide.withColumn("level", F.get(names, F.col("level")))
