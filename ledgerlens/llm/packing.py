@@ -13,8 +13,10 @@ from ledgerlens.plans.runtime import Stages, table
 
 #: Bins that are open at once in a lane.
 OPEN = 256
-#: Tokens that one lane packs; a lane leaves at most OPEN bins part-filled, far under 1 % of its bins.
-LANE_TOKENS = 64_000_000
+#: Tokens that one lane packs at least.
+LANE_TOKENS = 8_000_000
+#: Lanes at most; beyond LANES * LANE_TOKENS tokens lanes are longer, so the number of tasks stays bounded at any size.
+LANES = 256
 
 
 class BestFit:
@@ -66,24 +68,51 @@ class BestFit:
 
 
 def pack_task(capacities: dict[str, int], limit: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    """Packs rows sorted by pack name and lane as they stream by; holds nothing but the open bins."""
+    """Packs rows sorted by pack name and lane as they stream by; holds nothing but the open bins.
+
+    Bins that are still open when a lane ends go out with ``left``, their free space."""
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, fit = None, None
+        columns = ["pack_name", "lane", "bin_no", "doc_id", "part", "start", "tokens", "left"]
+
+        def ended() -> list[tuple]:
+            return [(*at, b, None, None, None, None, space) for space, group in fit.bins.items() for b in group] if at else []
+
         for batch in batches:
-            out: list[tuple[str, int, int, int, int, int, int]] = []
+            out: list[tuple] = []
             for pack, lane, doc, tokens in zip(batch["pack_name"], batch["lane"], batch["doc_id"], batch["tokens"]):
                 if (pack, lane) != at:
+                    out += ended()
                     at, fit = (pack, lane), BestFit(capacities[pack], limit)
                 start, part = 0, 0
                 while True:
                     size = min(tokens - start, fit.capacity)
-                    out.append((pack, lane, fit.put(size), doc, part, start, size))
+                    out.append((pack, lane, fit.put(size), doc, part, start, size, None))
                     start, part = start + size, part + 1
                     if start >= tokens:
                         break
             if out:
-                yield pd.DataFrame(out, columns=["pack_name", "lane", "bin_no", "doc_id", "part", "start", "tokens"])
+                yield pd.DataFrame(out, columns=columns).astype({c: "Int64" for c in columns[1:]})
+        if at and (rest := ended()):
+            yield pd.DataFrame(rest, columns=columns).astype({c: "Int64" for c in columns[1:]})
+
+    return task
+
+
+def join_task(capacities: dict[str, int], limit: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Packs what the lanes left open once more, each part-filled bin as one item: at most OPEN bins a lane and capacity."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, fit = None, None
+        for batch in batches:
+            out = []
+            for pack, lane, bin_no, left in zip(batch["pack_name"], batch["lane"], batch["bin_no"], batch["left"]):
+                if pack != at:
+                    at, fit = pack, BestFit(capacities[pack], limit)
+                out.append((pack, lane, bin_no, fit.put(capacities[pack] - left)))
+            if out:
+                yield pd.DataFrame(out, columns=["pack_name", "lane", "bin_no", "joined"])
 
     return task
 
@@ -95,30 +124,41 @@ def pack(spark: SparkSession, sizes: DataFrame, packs: DataFrame, limit: int = O
     containers and a rest. Documents without tokens take no space but are placed. Rows with a null size are placed as
     if they had none; repeated rows are packed as often as they come. Packs with a null name or a capacity under 1 are left
     out, of a name that is repeated the first capacity holds. Lanes are by hash of the id, each packed in
-    hash order, which makes a lost task repeatable.
+    hash order, which makes a lost task repeatable. There are LANES at most, whatever the size; the bins that are open when a lane ends
+    are packed once more across all lanes, into bins of lane -1.
     """
+    stages = Stages(spark)
     capacities = {
         r["pack_name"]: r["c"]
         for r in packs.where("pack_name is not null and capacity_tokens > 0").groupBy("pack_name").agg(F.min("capacity_tokens").alias("c")).collect()
     }  # the table of container kinds is fixed at a handful of rows
     total = sizes.agg(F.sum("tokens")).first()[0] or 0
-    lanes = max(1, -(-total // lane_tokens))
+    lanes = max(1, min(LANES, -(-total // lane_tokens)))
     kinds = spark.createDataFrame([(k, c) for k, c in capacities.items()], "pack_name string, capacity_tokens int")
-    columns = "pack_name string, lane int, bin_no bigint, doc_id bigint, part int, start bigint, tokens bigint"
     rows = (
         sizes.select("doc_id", F.coalesce("tokens", F.lit(0)).cast("bigint").alias("tokens"))
         .withColumn("pack_name", F.explode(F.lit(sorted(capacities)) if capacities else F.array().cast("array<string>")))
         .withColumn("h", F.xxhash64("doc_id", F.lit(8)))
         .withColumn("lane", F.pmod("h", F.lit(lanes)).cast("int"))
     )
-    n = max(1, lanes * len(capacities))
-    return (
-        rows.repartition(n, "pack_name", "lane")
+    columns = "pack_name string, lane int, bin_no bigint, doc_id bigint, part int, start bigint, tokens bigint, left bigint"
+    placed = stages.cut(
+        rows.repartition(max(1, lanes * len(capacities)), "pack_name", "lane")
         .sortWithinPartitions("pack_name", "lane", "h", "doc_id", "tokens")
         .select("pack_name", "lane", "doc_id", "tokens")
         .mapInPandas(pack_task(capacities, limit), columns)
+    )
+    open_ = placed.where("left is not null").select("pack_name", "lane", "bin_no", "left")
+    # At most OPEN rows a lane and capacity.
+    joined = open_.repartition(max(1, len(capacities)), "pack_name").sortWithinPartitions("pack_name", "left", "lane", "bin_no").mapInPandas(
+        join_task(capacities, limit), "pack_name string, lane int, bin_no bigint, joined bigint"
+    )
+    joined = stages.cut(joined) if lanes > 1 else joined.limit(0)
+    return (
+        placed.where("left is null").drop("left")
+        .join(F.broadcast(joined), ["pack_name", "lane", "bin_no"], "left")
         .join(F.broadcast(kinds), "pack_name")
-        .select("pack_name", "capacity_tokens", "lane", "bin_no", "doc_id", "part", "start", "tokens")
+        .select("pack_name", "capacity_tokens", F.when(F.col("joined").isNull(), F.col("lane")).otherwise(-1).alias("lane"), F.coalesce("joined", "bin_no").alias("bin_no"), "doc_id", "part", "start", "tokens")
     )
 
 

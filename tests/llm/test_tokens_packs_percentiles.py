@@ -101,11 +101,29 @@ def test_percentiles_against_sorting(spark):
         vs.sort()
         for p in ranks:
             exact = vs[max(1, math.ceil(round(p * len(vs), 6))) - 1]
-            assert got[k, p][1] == len(vs) and abs(got[k, p][0] - exact) <= (0 if exact == int(exact) and abs(exact) <= 2**20 else 2**-20 * abs(exact))
+            assert got[k, p] == (exact, len(vs))
     assert Q.percentiles(df.limit(0), ["k"], "v").count() == 0
     # Sketches of two halves, added up, give what the whole gives.
     half = Q.F.pmod(Q.F.monotonically_increasing_id(), Q.F.lit(2))
     parts = df.withColumn("h", half)
     both = Q.digits(parts.where("h = 0"), ["k"], "v").union(Q.digits(parts.where("h = 1"), ["k"], "v"))
-    again = {(x["k"], x["p"]): (x["value"], x["n"]) for x in Q.select_ranks(both, ["k"], ranks, Stages(spark)).collect()}
-    assert again == got
+    again = {(x["k"], x["p"]): x for x in Q.select_ranks(both, ["k"], ranks, Stages(spark)).collect()}
+    assert set(again) == set(got)
+    for key, x in again.items():
+        exact, n = got[key]
+        assert x["n"] == n and 0 <= abs(exact) - abs(x["value"]) < max(x["error"], 1e-300) and x["error"] <= 2**-20 * abs(exact) and (exact != int(exact) or abs(exact) > 2**20 or exact == x["value"])
+
+
+def test_levels_add_up(spark):
+    r = random.Random(3)
+    data = [(r.choice("ab"), r.choice([1, 2, None]), r.choice([r.random(), float(r.randint(-5, 5))])) for _ in range(800)]
+    df = spark.createDataFrame(data, "k string, d int, v double")
+    stages = Stages(spark)
+    levels = (("k", "d"), ("k",), ())
+    got = {(x["level"], x["k"], x["d"], x["p"]): x["value"] for x in Q.radix_select(stages.cut(Q.values_of(df, ["k", "d"], "v")), ["k", "d"], (0.5, 0.9), stages, levels).collect()}
+    by = defaultdict(list)
+    for k, d, v in data:
+        for key in ((0, k, d), (1, k, None), (2, None, None)):
+            by[key].append(v)
+    want = {(*key, p): sorted(vs)[max(1, math.ceil(round(p * len(vs), 6))) - 1] for key, vs in by.items() for p in (0.5, 0.9)}
+    assert got == want
