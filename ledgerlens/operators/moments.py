@@ -12,8 +12,9 @@ import zoneinfo
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.dates import real_date
 from ledgerlens.functions.words import ACCENTED, MONTHS, MORE_MONTHS, UNACCENTED
-from ledgerlens.plans.runtime import Stages, table
+from ledgerlens.plans.runtime import Stages, table, with_value
 
 _REST = r"((?:[t ,]|$).*)$"
 # The forms of dates, and how each is rewritten.
@@ -21,24 +22,26 @@ FORMS = (
     ("ymd", r"^(\d{4})([-/.])(\d{1,2})\2(\d{1,2})" + _REST, "ymd|$1|$3|$4|$5"),
     ("ymd", r"^(\d{4})(\d{2})(\d{2})(t\d.*|)$", "ymd|$1|$2|$3|$4"),
     ("num", r"^(\d{1,2})([-/.])(\d{1,2})\2(\d{4}|\d{2})" + _REST, "num|$1|$3|$4|$5"),
-    ("day", r"^(?:\p{L}+,? +)?(\d{1,2})(?:st|nd|rd|th|er|º|ª|\.)?[ -]+(?:de +|of +)?(\p{L}{3,})\.?,?[ -]+(?:de +|del +)?(\d{4}|\d{2})" + _REST, "day|$1|$2|$3|$4"),
-    ("mon", r"^(?:\p{L}+, +)?(\p{L}{3,})\.? +(\d{1,2})(?:st|nd|rd|th)?,? +(\d{4})" + _REST, "day|$2|$1|$3|$4"),
+    ("day", r"^(?:\p{L}+\.?,? +)?(\d{1,2})(?:st|nd|rd|th|er|º|ª|\.)?[ -]+(?:de +|of +)?(\p{L}{3,})\.?,?[ -]+(?:de +|del +)?(\d{4}|\d{2})" + _REST, "day|$1|$2|$3|$4"),
+    ("mon", r"^(?:\p{L}+\.?,? +)?(\p{L}{3,})\.?[ -]+(\d{1,2})(?:st|nd|rd|th)?,?[ -]+(\d{4}|\d{2})" + _REST, "day|$2|$1|$3|$4"),
     ("ymd", r"^(\d{4})\s?年\s?(\d{1,2})\s?月\s?(\d{1,2})\s?日(.*)$", "ymd|$1|$2|$3|$4"),
 )
 TIME = (
     r"^[t ,]*(?:(?:à|a las|um|at|às|alle|o|om) +)?(\d{1,2})(?:[:h時]|(?=\d{4}(?!\d))|(?=\d{2}(?!\d)))(\d{2})(?:[:分]?(\d{2})秒?(?:[.,]\d{1,9})?)?分?"
-    r" ?(am|pm|a\.m\.?|p\.m\.?)?(?: ?(?:uhr|h|hrs))?"
+    r" ?((?:am|pm)(?![a-z])|a\. ?m\.?|p\. ?m\.?)?(?: ?(?:uhr|h|hrs)(?![a-z]))?"
     r" ?((?:(?:z|utc|gmt)(?![a-z/]))?)((?:[+-]\d{1,2}(?::?\d{2})?)?) ?((?:[a-z]{2,5}(?![a-z/_]))?)"
     r" ?\[?((?:[a-z]+(?:/[a-z0-9_+-]+)+)?)\]?$"
 )
 UNIX = r"^(\d{9,10}|\d{12,13}|\d{15,16}|\d{18,19})(?:[.,]\d+)?$"
+# Arabic-Indic, Persian and full-width figures, and full-width marks between them.
+FIGURES = "٠١٢٣٤٥٦٧٨٩۰۱۲۳۴۵۶۷۸۹０１２３４５６７８９：／－．，＋"
 # German short forms of zones that the zone database has in English only.
 ALIASES = {"mez": "CET", "mesz": "CEST"}
 
 
 def cleaned(raw: Column) -> Column:
-    """Lower case, one plain blank between words, without blanks and marks around the text."""
-    text = F.regexp_replace(F.lower(raw), r"[\s\p{Z}\p{Cf}]+", " ")
+    """Lower case, figures and their marks as plain ones, one plain blank between words, without blanks and marks around the text."""
+    text = F.regexp_replace(F.translate(F.lower(raw), FIGURES, "0123456789" * 3 + ":/-.,+"), r"[\s\p{Z}\p{Cf}]+", " ")
     text = F.regexp_replace(text, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}\]]+$", "")
     return F.when(F.contains(text, F.lit("[")), text).otherwise(F.regexp_replace(text, r"[^\p{L}\p{N}]+$", ""))
 
@@ -72,17 +75,6 @@ def abbreviations(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(sorted(out), "zone string, abbr string, offset int")
 
 
-def days_of_month(year: Column, month: Column) -> Column:
-    leap = ((year % 4 == 0) & (year % 100 != 0)) | (year % 400 == 0)
-    return F.when(month == 2, F.when(leap, 29).otherwise(28)).when(month.isin(4, 6, 9, 11), 30).otherwise(31)
-
-
-def real_date(year: Column, month: Column, day: Column) -> Column:
-    """The date, or null if there is no such day."""
-    fine = year.between(1, 9999) & month.between(1, 12) & (day >= 1) & (day <= days_of_month(year, month))
-    return F.when(fine, F.make_date(year, month, day))
-
-
 def month_number(name: Column) -> Column:
     table_ = F.create_map(*[F.lit(x) for kv in (MORE_MONTHS | MONTHS).items() for x in kv])
     return F.try_element_at(table_, F.translate(name, ACCENTED, UNACCENTED))
@@ -151,14 +143,25 @@ def offset_seconds(text: Column) -> Column:
     return F.when((size <= 18 * 3600) & (minutes < 60), F.when(F.substring(text, 1, 1) == "-", -size).otherwise(size))
 
 
+#: Seconds before and after a local time at which the offset of its zone is looked up: farther than any zone is from UTC.
+AROUND = 36 * 3600
+
+
+def shown(moment: Column, zone: Column) -> Column:
+    """The local seconds that the clocks of a region show at a moment."""
+    return F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(moment), zone))
+
+
 def with_utc(df: DataFrame, local: str, zone: str, to: str) -> DataFrame:
-    """Adds the UTC seconds of local seconds in a region; null if the clocks skipped that time or showed it twice."""
-    df = df.withColumn(to, F.when(F.col(zone).isNotNull(), F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(local), F.coalesce(zone, F.lit("UTC"))))))
-    shifts = (0, 3600, -3600, 1800, -1800, 7200, -7200)
-    shown = [F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(F.col(to) + x), F.coalesce(zone, F.lit("UTC")))) == F.col(local) for x in shifts]
-    df = df.withColumn("_shown", F.array(*shown))
-    once = F.get("_shown", F.lit(0)) & ~F.exists(F.slice("_shown", 2, len(shifts)), lambda x: x)
-    return df.withColumn(to, F.when(once, F.col(to))).drop("_shown")
+    """Adds the UTC seconds of local seconds in a region; null if the clocks skipped that time or showed it twice.
+
+    The offsets before and after, AROUND apart, are the only ones that can have held, whatever a change of the clocks comes to.
+    """
+    at = F.coalesce(zone, F.lit("UTC"))
+    df = df.withColumns({f"_u{k}": F.col(local) - (shown(F.col(local) + x, at) - F.col(local) - x) for k, x in enumerate((-AROUND, AROUND))})
+    fits = [shown(F.col(f"_u{k}"), at) == F.col(local) for k in (0, 1)]
+    once = F.when(F.col("_u0") == F.col("_u1"), F.when(fits[0], F.col("_u0"))).when(fits[0] & ~fits[1], F.col("_u0")).when(fits[1] & ~fits[0], F.col("_u1"))
+    return df.withColumn(to, F.when(F.col(zone).isNotNull(), once)).drop("_u0", "_u1")
 
 
 def normalise(spark: SparkSession, rows: DataFrame, raw: str = "raw", zone: str = "zone", order: str = "date_order") -> DataFrame:
@@ -170,12 +173,14 @@ def normalise(spark: SparkSession, rows: DataFrame, raw: str = "raw", zone: str
     """
     own = rows.columns
     df = with_parts(spark, rows, raw, zone, order)
-    moment = F.col("moment")
+    return df.select(*own, F.when(F.col("moment").isNotNull(), stamp(F.col("moment"))).when(~F.coalesce("timed", F.lit(True)), F.col("day").cast("string")).alias("normal"))
+
+
+def stamp(moment: Column) -> Column:
+    """UTC seconds as ``YYYY-MM-DDTHH:MM:SSZ``; null outside the years 1 to 9999."""
     of_day = F.pmod(moment, F.lit(86400))  # no timestamp is formatted, for that would use the session's zone
     clock = F.format_string("T%02d:%02d:%02dZ", F.floor(of_day / 3600), F.floor(of_day % 3600 / 60), of_day % 60)
-    stamp = F.concat(F.date_from_unix_date(F.floor(moment / 86400).cast("int")).cast("string"), clock)
-    fine = moment.between(-62135596800, 253402300799)
-    return df.select(*own, F.when(moment.isNotNull() & fine, stamp).when(~F.coalesce("timed", F.lit(True)), F.col("day").cast("string")).alias("normal"))
+    return F.when(moment.between(-62135596800, 253402300799), F.concat(F.date_from_unix_date(F.floor(moment / 86400).cast("int")).cast("string"), clock))
 
 
 def with_parts(spark: SparkSession, rows: DataFrame, raw: str = "raw", zone: str = "zone", order: str = "date_order") -> DataFrame:
@@ -224,50 +229,85 @@ def p2_found(spark: SparkSession, folder: str) -> DataFrame:
     return normalise(spark, dated(spark, folder)).where("normal is not null").select("origin", "row_id", "normal").distinct()
 
 
+#: Seconds to which local times are counted together: clocks change at multiples of it.
+GRAIN = 900
+
+
 def zone_violations(spark: SparkSession, pairs: DataFrame, zones: list[str], slack: int = 60) -> DataFrame:
     """``(key, zone, n, violations)`` for every candidate zone, from ``pairs (key, local, known, ingested)`` in seconds.
 
     ``local`` is a zoneless time; ``known`` the moment in UTC that another record states for the same event, if any;
     ``ingested`` when the record arrived. A zone's whole history of offsets is applied. It is violated by a local
     time that its clocks never showed, by one more than ``slack`` seconds off the known moment, and by one after the arrival.
-    The time zone database bounds the candidates; pairs are counted before the shuffle, so a key with a third of all rows
-    is no burden.
+    Pairs are counted by their quarter of an hour and their distance from the known moment before the zones, which are a list as long
+    as the caller's, are tried, so a key with a third of all rows is no burden.
     """
-    tried = pairs.select("key", "local", "known", "ingested", F.explode(F.array(*map(F.lit, zones)) if zones else F.array().cast("array<string>")).alias("zone"))
-    tried = tried.withColumn("_utc", F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds("local"), F.col("zone"))))
-    tried = tried.withColumn("_never", F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds("_utc"), F.col("zone"))) != F.col("local"))
+    start = (F.floor(F.col("local") / GRAIN) * GRAIN).cast("bigint")
+    counted = pairs.groupBy("key", start.alias("local"), (F.col("known") - F.col("local")).alias("known_in")).agg(
+        F.count("*").alias("n"), F.collect_set(F.when(F.col("ingested") - F.col("local") < 2 * AROUND, F.floor((F.col("ingested") - F.col("local")) / 60))).alias("early"),
+    )  # a set of at most some thousand minutes
+    at = F.explode(F.array(*map(F.lit, zones)) if zones else F.array().cast("array<string>"))
+    tried = counted.select("key", "local", "known_in", "n", "early", at.alias("zone"))
+    for k, x in enumerate((-AROUND, AROUND)):
+        tried = tried.withColumn(f"_o{k}", shown(F.col("local") + x, F.col("zone")) - F.col("local") - x)
+    tried = tried.withColumns({f"_f{k}": shown(F.col("local") - F.col(f"_o{k}"), F.col("zone")) == F.col("local") for k in (0, 1)})
     # Where the clocks showed the time twice, either moment will do.
-    off = F.least(F.abs(F.col("_utc") - F.col("known")), F.abs(F.col("_utc") + 3600 - F.col("known")))
-    twice = F.unix_seconds(F.from_utc_timestamp(F.timestamp_seconds(F.col("_utc") + 3600), F.col("zone"))) == F.col("local")
-    miss = F.when(twice, off > slack).otherwise(F.abs(F.col("_utc") - F.col("known")) > slack)
-    bad = F.col("_never") | F.coalesce(miss, F.lit(False)) | F.coalesce(F.col("_utc") > F.col("ingested") + slack, F.lit(False))
-    return tried.groupBy("key", "zone").agg(F.count("*").alias("n"), F.count_if(bad).alias("violations"))
+    def miss(fits: Column, offset: Column) -> Column:
+        return ~fits | F.coalesce(F.abs(F.col("known_in") + offset) > slack, F.lit(False)) | F.exists("early", lambda m: m * 60 + offset < -slack)
+
+    misses = [miss(F.col(f"_f{k}"), F.col(f"_o{k}")) for k in (0, 1)]
+    return tried.groupBy("key", "zone").agg(F.sum("n").alias("n"), F.coalesce(F.sum(F.when(misses[0] & misses[1], F.col("n"))), F.lit(0)).alias("violations"))
 
 
 def estimate_zones(spark: SparkSession, pairs: DataFrame, zones: list[str]) -> DataFrame:
-    """``(key, zone, n, violations)``: the zone with the fewest violations of each key, the first by name if several tie.
+    """``(key, zone, tied, n, violations)``: the zone with the fewest violations of each key; if several tie, ``zone`` is null
+    and ``tied`` tells how many do.
 
     Rows with a null key or local time don't count; a key without rows does not come out.
     """
     counted = zone_violations(spark, pairs.where("key is not null and local is not null"), zones)
-    return counted.groupBy("key").agg(F.min(F.struct("violations", "zone", "n")).alias("b")).select("key", "b.zone", "b.n", "b.violations")
+    by = counted.groupBy("key", "violations").agg(F.count("*").alias("tied"), F.min("zone").alias("zone"), F.first("n").alias("n"))
+    best = by.groupBy("key").agg(F.min(F.struct("violations", "tied", "zone", "n")).alias("b"))
+    return best.select("key", F.when(F.col("b.tied") == 1, F.col("b.zone")).alias("zone"), "b.tied", "b.n", "b.violations")
 
 
-def p2_zones(spark: SparkSession, folder: str) -> DataFrame:
-    """``(tax_id, zone, n, violations)`` of issuers some of whose documents state no zone.
+def zone_evidence(spark: SparkSession, folder: str, stages: Stages) -> tuple[DataFrame, list[str]]:
+    """``(origin, row_id, key, local, known, ingested)`` of all zoneless times of documents that state no zone, and the candidate zones.
 
-    Evidence are the zoneless times of such documents, the moments that the same document states with a zone elsewhere,
-    and the times of arrival. p2_found does not use these estimates, for there such times have no meaning.
+    ``key`` is the issuer's tax id. ``known`` is a moment that the same document states elsewhere, within a day of the local time.
+    Candidates are the zones that other rows of the table state, which the time zone database bounds.
     """
-    stages = Stages(spark)
     extractions = table(spark, folder, "extractions")
-    parsed = stages.cut(with_parts(spark, dated(spark, folder)))
+    parsed = stages.cut(with_parts(spark, dated(spark, folder)).select("origin", "row_id", "extraction_id", "zone", "local", "moment"))
     issuer = extractions.groupBy("extraction_id").agg(
-        F.first(F.upper(F.regexp_replace(F.col("tax_id.value"), r"[^\p{L}\p{N}]", ""))).alias("key"), F.min(F.unix_seconds("ingested_at")).alias("ingested")
+        F.min(F.upper(F.regexp_replace(F.col("tax_id.value"), r"[^\p{L}\p{N}]", ""))).alias("key"), F.min(F.unix_seconds("ingested_at")).alias("ingested")
     )
     stated = parsed.where("moment is not null").groupBy("extraction_id").agg(F.min("moment").alias("known"))
-    local = parsed.where("zone is null and moment is null and local is not null")
+    local = parsed.where("zone is null and moment is null and local is not null").select("origin", "row_id", "extraction_id", "local").distinct()
     near = F.when(F.abs(F.col("known") - F.col("local")) <= 86400, F.col("known"))
-    pairs = local.join(issuer, "extraction_id").join(stated, "extraction_id", "left").select("key", "local", near.alias("known"), "ingested")
+    rows = local.join(issuer, "extraction_id").join(stated, "extraction_id", "left").select("origin", "row_id", "key", "local", near.alias("known"), "ingested")
     zones = [r[0] for r in extractions.where(F.col("issuer_zone").isin(zone_names(spark))).select("issuer_zone").distinct().collect()]
-    return estimate_zones(spark, pairs, sorted(zones)).withColumnRenamed("key", "tax_id")
+    return stages.cut(rows), sorted(zones)
+
+
+def p2_zones(spark: SparkSession, folder: str) -> DataFrame:
+    """``(tax_id, zone, tied, n, violations)`` of issuers some of whose documents state no zone.
+
+    Evidence are the zoneless times of such documents, the moments that the same document states with a zone elsewhere,
+    and the times of arrival; without any that tells zones apart the zone is null.
+    """
+    rows, zones = zone_evidence(spark, folder, Stages(spark))
+    return estimate_zones(spark, rows, zones).withColumnRenamed("key", "tax_id")
+
+
+def p2_estimated(spark: SparkSession, folder: str) -> DataFrame:
+    """``(origin, row_id, zone, violations, normal)``: the zoneless times that p2_found leaves out for want of a zone, converted by
+    the zone that was estimated for their issuer; ``normal`` is null if its clocks skipped that time or showed it twice.
+
+    Rows whose issuer is null or has no zone of its own (ties) do not come out.
+    """
+    stages = Stages(spark)
+    rows, zones = zone_evidence(spark, folder, stages)
+    found = stages.cut(estimate_zones(spark, rows, zones).where("zone is not null").select("key", "zone", "n", "violations"))
+    df = with_utc(with_value(rows.select("origin", "row_id", "key", "local"), found, "key", "n"), "local", "zone", "_utc")
+    return df.select("origin", "row_id", "zone", "violations", stamp(F.col("_utc")).alias("normal"))

@@ -311,6 +311,7 @@ QUERIES = {
     "upsert_deliveries": latest_deliveries,
     "p2_found": moments.p2_found,
     "p2_zones": moments.p2_zones,
+    "p2_estimated": moments.p2_estimated,
 }
 
 ORACLES: dict[str, str] = {

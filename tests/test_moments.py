@@ -72,6 +72,29 @@ def test_zone_estimate(spark):
     df = spark.createDataFrame(rows, "key string, local long, known long, ingested long")
     zones = ["America/New_York", "Asia/Tokyo", "Europe/Berlin"]
     got = {r["key"]: (r["zone"], r["violations"]) for r in M.estimate_zones(spark, df, zones).collect()}
-    assert got == {"k": ("Asia/Tokyo", 0), "e": ("Asia/Tokyo", 0)}
+    assert got == {"k": ("Asia/Tokyo", 0), "e": (None, 0)}  # Berlin and Tokyo are both before the arrival
     assert M.estimate_zones(spark, df.where(F.lit(False)), zones).count() == 0
     assert M.estimate_zones(spark, df, []).count() == 0
+
+
+def test_changes_of_any_size_and_other_scripts(spark):
+    cases = [
+        ("2010-03-05 00:30", "Antarctica/Casey", None),  # shown twice, three hours apart
+        ("2024-04-07 01:45", "Australia/Lord_Howe", None),  # half an hour
+        ("2011-12-30 12:00", "Pacific/Apia", None),  # a day that was skipped
+        ("2011-12-31 12:00", "Pacific/Apia", "2011-12-30T22:00:00Z"),
+        ("2022-01-02 12:45:46 America/New_York", "Europe/Berlin", "2022-01-02T17:45:46Z"),
+        ("２０２２-01-02", None, "2022-01-02"), ("Mo., 10. Januar 2022", None, "2022-01-10"), ("Jan 5, 22", None, "2022-01-05"),
+        ("10-Jan-2022 9:57 a. m.", "UTC", "2022-01-10T09:57:00Z"), ("٢٠٢٢-٠١-٠٢", None, "2022-01-02"),
+    ]
+    df = spark.createDataFrame([(k, r, z) for k, (r, z, _) in enumerate(cases)], "k int, raw string, zone string").selectExpr("*", "cast(null as string) date_order")
+    got = {r["k"]: r["normal"] for r in M.normalise(spark, df).collect()}
+    assert got == {k: n for k, (_, _, n) in enumerate(cases)}
+
+
+def test_ties_have_no_zone(spark):
+    pairs = [("a", 1_650_000_000, 1_650_000_000 - 7200, None), ("b", 1_650_000_000, None, None), ("c", 1_650_000_000, None, 1_650_000_000 - 3600), (None, 5, 5, None)]
+    df = spark.createDataFrame(pairs, "key string, local long, known long, ingested long")
+    got = {r["key"]: (r["zone"], r["tied"], r["n"], r["violations"]) for r in M.estimate_zones(spark, df, ["America/Lima", "Europe/Berlin", "Europe/London", "UTC"]).collect()}
+    # April: Berlin is two hours ahead; London, an hour ahead, and Berlin are not after the arrival.
+    assert got == {"a": ("Europe/Berlin", 1, 1, 0), "b": (None, 4, 1, 0), "c": (None, 2, 1, 0)}
