@@ -207,7 +207,9 @@ def link_keys() -> Column:
     # The probing side has the neighbours too.
     near = lambda k: F.when(probing, F.array(F.floor(F.abs(F.col(k)) - 0.5), F.floor(F.abs(F.col(k)) + 0.5))).otherwise(F.array(F.floor(F.abs(F.col(k)))))
     whole = {k: near(k) for k in AMOUNTS}
-    by_number = [F.transform(whole[k], lambda n, k=k: hashed(f"number {k}", number, n)) for k in AMOUNTS]
+
+    def by_number(k: str) -> Column:
+        return F.coalesce(F.transform(whole[k], lambda n: hashed(f"number {k}", number, n)), none)
 
     def by_date(kind: str) -> Column:
         total = F.transform(whole["total_amount"], lambda n: hashed(f"{kind} total", date, n))
@@ -217,7 +219,7 @@ def link_keys() -> Column:
     # A number is missing on the train side or on the eval side, and anything is on the other.
     gone = lambda side: F.when((F.col("side") != side) | number.isNull(), by_date(f"no number, {side}")).otherwise(none)
     slips = F.when(number.isNotNull() & date.isNotNull(), slip_keys("date", "number")).otherwise(none)
-    return F.array_distinct(F.array_compact(F.concat(slips, *[F.coalesce(k, none) for k in by_number], gone("train"), gone("eval"))))
+    return F.array_distinct(F.array_compact(F.concat(slips, F.array(hashed("number date", number, date)), *map(by_number, AMOUNTS), gone("train"), gone("eval"))))
 
 
 def overlaps(spark: SparkSession, cases: DataFrame, least: float = COSINE) -> DataFrame:
