@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import json
 import unicodedata
 
 import pandas as pd
@@ -14,10 +16,6 @@ from ledgerlens.functions.words import ACCENTED, UNACCENTED
 SPACE = r"(?U)\s+"
 
 
-def lit_or_col(x: Column | str) -> Column:
-    return F.col(x) if isinstance(x, str) else x
-
-
 def let(value: Column, use) -> Column:
     """``use(value)`` with ``value`` computed once: a lambda variable stands for it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -38,14 +36,50 @@ def is_blank(x: Column) -> Column:
     return x.isNull() | ~x.rlike(r"(?U)\S")
 
 
+@functools.lru_cache(1)
+def fold_tables() -> tuple[str, str, dict[str, str]]:
+    """What case folding, compatibility decomposition and dropping of marks make of each character: characters that become one
+    other character, those it becomes followed by those that vanish, and characters that become several. Hangul stays composed."""
+    single, plain, gone, several = [], [], [], {}
+    for code in range(0x110000):
+        if 0x3400 <= code <= 0x9FFF or 0xAC00 <= code <= 0xDFFF or 0x20000 <= code <= 0x2F7FF or 0x30000 <= code < 0xE0000:
+            continue
+        c = chr(code)
+        to = "".join(x for x in unicodedata.normalize("NFKD", c.casefold()) if not unicodedata.combining(x))
+        if to == c:
+            continue
+        if not to:
+            gone.append(c)
+        elif len(to) == 1:
+            single.append(c)
+            plain.append(to)
+        else:
+            several[c] = to
+    return "".join(single) + "".join(gone), "".join(plain), several
+
+
 def fold(x: Column) -> Column:
-    """Lower case without accents, for the letters of European languages; ``fold_exact`` is for all others."""
+    """Lower case without accents, for the letters of European languages; ``fold_full`` is for all others."""
     return F.translate(F.replace(F.lower(x), F.lit("ß"), F.lit("ss")), ACCENTED, UNACCENTED)
 
 
+def fold_full(x: Column) -> Column:
+    """Case folding, compatibility decomposition and no combining marks, as the Unicode tables have it; all in the JVM.
+
+    Its tables make a plan large: it is for columns that are folded once, while ``fold`` stands many times in the plan of the extraction.
+
+    Letters that become several (sharp s, ligatures, Roman numerals) are looked up one by one, and only in texts that have one."""
+    before, after, several = fold_tables()
+    pattern = "[" + "".join(f"\\x{{{ord(c):x}}}" for c in several) + "]"
+    table = F.from_json(F.lit(json.dumps(several)), "map<string,string>")  # one literal once it is folded, not thousands of expressions
+    one = F.translate(x, before, after)
+    spread = F.array_join(F.transform(F.split(one, ""), lambda c: F.when(c.rlike(pattern), F.try_element_at(table, c)).otherwise(c)), "")
+    return F.when(x.rlike(r"[^\x00-\x7F]") & x.rlike(pattern), spread).otherwise(one)
+
+
 @F.pandas_udf(StringType())
 def fold_exact(s: pd.Series) -> pd.Series:
-    """Case folding, compatibility decomposition and no combining marks, exactly as the Unicode tables have it."""
+    """The same as ``fold`` by Python's own tables; what the tests compare with."""
 
     def one(t: str) -> str:
         return "".join(c for c in unicodedata.normalize("NFKD", t.casefold()) if not unicodedata.combining(c))
@@ -95,7 +129,7 @@ def western_digits(x: Column) -> Column:
 
 def before_comma(x: Column) -> Column:
     """The part before the first comma, and of that the part before a slash between blanks."""
-    return F.trim(F.split_part(F.split_part(x, F.lit(","), F.lit(1)), F.lit(" / "), F.lit(1)))
+    return strip(F.split_part(F.split_part(x, F.lit(","), F.lit(1)), F.lit(" / "), F.lit(1)))
 
 
 def after_label(text: Column, label: str) -> Column:

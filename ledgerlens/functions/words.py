@@ -15,14 +15,14 @@ MONTH_NAMES: tuple[str, ...] = (
     "august aug agosto aout augustus sierpnia",
     "september sep sept septiembre setiembre septembre settembre setembro wrzesnia",
     "october oct octubre octobre oktober okt ottobre outubro pazdziernika",
-    "november nov noviembre novembre novembro listopada",
+    "november nov noviembre novembro listopada",
     "december dec diciembre decembre dezember dez dicembre dezembro grudnia",
 )
 MONTHS: dict[str, int] = {name: k for k, names in enumerate(MONTH_NAMES, 1) for name in names.split()}
 
 # Short forms that p2 also reads, beyond those above.
 MORE_MONTHS: dict[str, int] = {
-    "ene": 1, "fev": 2, "mrt": 3, "mrz": 3, "abr": 4, "mag": 5, "giu": 6, "lug": 7, "ago": 8, "set": 9, "out": 10, "ott": 10, "dic": 12, "gen": 1,
+    "ene": 1, "fev": 2, "mrt": 3, "mrz": 3, "abr": 4, "mag": 5, "giu": 6, "lug": 7, "ago": 8, "set": 9, "out": 10, "ott": 10, "novembre": 11, "dic": 12, "gen": 1,
     "styczen": 1, "luty": 2, "marzec": 3, "kwiecien": 4, "maj": 5, "czerwiec": 6, "lipiec": 7, "sierpien": 8, "wrzesien": 9, "pazdziernik": 10, "listopad": 11, "grudzien": 12,
 }
 

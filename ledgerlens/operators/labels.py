@@ -39,19 +39,29 @@ def checked(df: DataFrame, expected: str, text: str) -> DataFrame:
     return df.withColumns({expected: kept, "discrepancies": lost})
 
 
-def with_scenario(df: DataFrame, key: str, date: str, *groups: str) -> DataFrame:
-    """Deals the scenarios out in turn over the order of ``key`` in each group, and sets the reference date that belongs to each.
+def seeded(key: str, seed: int | None) -> list[Column]:
+    """The order of ``key`` by a seeded hash, or of the key itself without a seed. It is the same on every run and every number of partitions."""
+    return [F.col(key)] if seed is None else [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)]
+
+
+def with_scenario(df: DataFrame, key: str, date: str, *groups: str, seed: int | None = None) -> DataFrame:
+    """Deals the scenarios out in turn over the seeded order of ``key`` in each group, and sets the reference date that belongs to each.
 
     A window over a group orders all its rows in one task: give groups that are small, such as batches of labels.
     """
-    turn = F.pmod(F.row_number().over(W.partitionBy(*groups).orderBy(key)) - 1, F.lit(len(SCENARIOS)))
+    turn = F.pmod(F.row_number().over(W.partitionBy(*groups).orderBy(*seeded(key, seed))) - 1, F.lit(len(SCENARIOS)))
     df = df.withColumn("scenario", F.element_at(F.array(*map(F.lit, SCENARIOS)), turn + 1))
     return df.withColumn("reference_date", F.date_add(date, F.when(F.col("scenario") == "old_date", OLD_DAYS).otherwise(RECENT_DAYS)))
 
 
-def halves(df: DataFrame, key: str, *groups: str) -> DataFrame:
-    """The two halves of each group in the order of ``key``; the first one has the odd row."""
-    return df.withColumn("half", F.when(F.ntile(2).over(W.partitionBy(*groups).orderBy(key)) == 1, "dev").otherwise("test"))
+def halves(df: DataFrame, key: str, *groups: str, seed: int | None = None) -> DataFrame:
+    """The two halves of each group in the seeded order of ``key``; the first one has the odd row."""
+    return df.withColumn("half", F.when(F.ntile(2).over(W.partitionBy(*groups).orderBy(*seeded(key, seed))) == 1, "dev").otherwise("test"))
+
+
+def sample_of_each(df: DataFrame, n: int, key: str, *groups: str, seed: int = 0) -> DataFrame:
+    """``n`` rows of each group, the first ones in the seeded order of ``key``."""
+    return df.withColumn("_k", F.row_number().over(W.partitionBy(*groups).orderBy(*seeded(key, seed)))).where(F.col("_k") <= n).drop("_k")
 
 
 def repeated(df: DataFrame, *keys: str) -> DataFrame:

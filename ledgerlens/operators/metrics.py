@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import soft
@@ -52,21 +53,58 @@ def by_tag(df: DataFrame, tags: str, ok: Column) -> DataFrame:
 
 
 def roll_up(df: DataFrame, config: str, source: str, **aggregates: Column) -> DataFrame:
-    """Each configuration as a whole and by source; ``name`` is ``config/all`` or ``config/source``. Rows without a source count in the whole only."""
+    """Each configuration as a whole and by source, in one pass; ``name`` is ``config/all`` or ``config/source``. Rows without a source count in the whole only."""
     named = [a.alias(k) for k, a in aggregates.items()]
-    whole = df.groupBy(config).agg(*named).withColumn("name", F.concat_ws("/", config, F.lit("all")))
-    parts = df.where(F.col(source).isNotNull()).groupBy(config, source).agg(*named).withColumn("name", F.concat_ws("/", config, source))
-    return whole.select("name", *aggregates).unionByName(parts.select("name", *aggregates))
+    sets = df.groupingSets([[F.col(config)], [F.col(config), F.col(source)]], F.col(config), F.col(source)).agg(F.grouping(source).alias("_whole"), *named)
+    kept = sets.where((F.col("_whole") == 1) | F.col(source).isNotNull())
+    return kept.select(F.concat_ws("/", config, F.when(F.col("_whole") == 1, "all").otherwise(F.col(source))).alias("name"), *aggregates)
 
 
 def calls(df: DataFrame, latency: str, *keys: str) -> DataFrame:
-    """Calls (a latency was measured), their mean, and the 95th percentile by nearest rank."""
-    return df.groupBy(*keys).agg(
-        F.count("*").alias("documents"), F.count(latency).alias("calls"), F.avg(latency).alias("mean_ms"),
-        F.expr(f"percentile_disc(0.95) WITHIN GROUP (ORDER BY {latency})").cast("double").alias("p95_ms"),
+    """Calls (a latency was measured), their mean, and the 95th percentile by nearest rank.
+
+    Equal latencies of a group are counted before they are sorted, so a group is as large as the number of its different latencies."""
+    counted = df.groupBy(*keys, latency).agg(F.count("*").alias("n"))
+    there = F.when(F.col(latency).isNotNull(), F.col("n")).otherwise(0)
+    over = W.partitionBy(*keys)
+    ranked = counted.withColumns({
+        "_upto": F.sum(there).over(over.orderBy(F.col(latency).asc_nulls_last()).rowsBetween(W.unboundedPreceding, 0)), "_all": F.sum(there).over(over),
+    })
+    rank = F.ceil(F.round(F.col("_all") * 0.95, 6))
+    return ranked.groupBy(*keys).agg(
+        F.sum("n").alias("documents"), F.sum(there).alias("calls"), (F.sum(F.col(latency) * F.col("n")) / F.sum(F.when(there > 0, there))).alias("mean_ms"),
+        F.min(F.when(F.col("_upto") >= rank, F.col(latency))).cast("double").alias("p95_ms"),
     )
 
 
+def micro_rate(stats: DataFrame, *keys: str) -> DataFrame:
+    """The exact rate over all fields together, from ``field_stats``."""
+    return stats.groupBy(*keys).agg(F.coalesce(F.try_divide(F.sum("exact").cast("double"), F.sum("total")), F.lit(0.0)).alias("field_exact_rate"))
+
+
+def summary(results: DataFrame, *keys: str) -> DataFrame:
+    """One row for each configuration: cases, agreement of the verdict, calls, fallbacks; ``results`` has ``expected, predicted, latency_ms, used``."""
+    agreed = F.coalesce(F.col("expected") == F.col("predicted"), F.lit(False))
+    return results.groupBy(*keys).agg(
+        F.count("*").alias("cases"), F.avg(agreed.cast("double")).alias("verdict_agreement"), F.count("latency_ms").alias("llm_calls"),
+        F.count_if(F.coalesce(is_fallback(F.col("used")), F.lit(False))).alias("fallbacks"),
+    )
+
+
+def comparison(results: DataFrame, stats: DataFrame, *keys: str) -> DataFrame:
+    """The table that sets configurations side by side: ``summary``, the micro rate of the fields, and mean and 95th percentile of the calls; rates in percent."""
+    times = calls(results, "latency_ms", *keys).select(*keys, F.round("mean_ms", 6).alias("mean_ms"), "p95_ms")
+    joined = summary(results, *keys).join(micro_rate(stats, *keys), list(keys), "left").join(times, list(keys), "left")
+    return joined.select(*keys, "cases", percent(F.col("field_exact_rate")).alias("fields"), percent(F.col("verdict_agreement")).alias("verdicts"), "llm_calls", "fallbacks", "mean_ms", "p95_ms")
+
+
+def verdict_failures(results: DataFrame, case: str = "case_id") -> DataFrame:
+    """One line for each case whose verdict is another one, as ``failures`` has them for fields."""
+    show = lambda c: F.coalesce(F.col(c), F.lit("None"))
+    wrong = results.where(~F.col("expected").eqNullSafe(F.col("predicted")))
+    return wrong.select(case, F.lit("verdict").alias("field"), F.concat(F.lit("verdict: expected "), show("expected"), F.lit(", got "), show("predicted")).alias("message"))
+
+
 def failures(long: DataFrame, case: str = "case_id") -> DataFrame:
     """One line for each field that does not agree."""
     show = lambda c: F.coalesce(F.col(c), F.lit("None"))
@@ -80,8 +118,32 @@ def gate(now: DataFrame, baseline: DataFrame, metrics: list[str]) -> DataFrame:
     return joined.select("name", F.inline(rows)).where(F.col("least").isNull() | (F.col("value") < F.col("least") - 1e-9))
 
 
+def fallback_gate(now: DataFrame) -> DataFrame:
+    """Configurations with fallbacks, as rows of ``gate``: only those whose name begins with ``heuristic@`` may have any."""
+    bad = now.where((F.col("fallbacks") > 0) & ~F.startswith(F.col("name"), F.lit("heuristic@")))
+    return bad.select("name", F.lit("fallbacks").alias("metric"), F.col("fallbacks").cast("double").alias("value"), F.lit(0.0).alias("least"))
+
+
+def split_faults(cases: DataFrame, members: DataFrame, source: str = "source") -> DataFrame:
+    """What is wrong with a split: ``(fault, name, n)``; none if it is sound.
+
+    ``members`` has ``case_id`` and ``split``. No case may be in two splits, each case must be in one and each member a case, and the
+    splits of a source may differ in size by one at most.
+    """
+    ids = members.select("case_id", "split").distinct()
+    twice = ids.groupBy("case_id").agg(F.count("*").alias("n")).where("n > 1").select(F.lit("in two splits").alias("fault"), F.col("case_id").alias("name"), "n")
+    none = cases.select("case_id").distinct().join(ids, "case_id", "left_anti").select(F.lit("in no split").alias("fault"), F.col("case_id").alias("name"), F.lit(0).cast("bigint").alias("n"))
+    other = ids.join(cases.select("case_id").distinct(), "case_id", "left_anti").select(F.lit("no case").alias("fault"), F.col("case_id").alias("name"), F.lit(0).cast("bigint").alias("n"))
+    sizes = ids.join(cases.select("case_id", source).distinct(), "case_id").groupBy(source, "split").agg(F.count("*").alias("size"))
+    splits = ids.agg(F.count_distinct("split").alias("splits"))
+    per = sizes.groupBy(source).agg(F.max("size").alias("most"), F.min("size").alias("fewest"), F.count("*").alias("found")).join(F.broadcast(splits))  # one row
+    uneven = per.select(F.lit("uneven").alias("fault"), F.col(source).alias("name"), (F.col("most") - F.when(F.col("found") < F.col("splits"), 0).otherwise(F.col("fewest"))).alias("n")).where("n > 1")
+    return twice.unionByName(none).unionByName(other).unionByName(uneven)
+
+
 def percent(rate: Column) -> Column:
-    return F.when(rate.isNull(), "n/a").otherwise(F.format_string("%.0f%%", rate * 100))
+    """A rate as a whole percentage, half to even; n/a if it is null."""
+    return F.when(rate.isNull(), "n/a").otherwise(F.concat(F.bround(rate * 100).cast("int").cast("string"), F.lit("%")))
 
 
 def is_fallback(used: Column) -> Column:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,7 +12,6 @@ from ledgerlens.functions.text import is_blank, let, opaque
 from ledgerlens.functions.words import BRIEF_FIELDS, FIELDS
 from ledgerlens.operators.lines import CANDIDATE, candidate, none
 from ledgerlens.operators.resolve import resolve
-from ledgerlens.plans.runtime import Stages
 
 # Keys that a reply may have before the fields.
 PREAMBLE = ("issuer_country", "date_format")
@@ -39,6 +41,19 @@ def reply_candidates(reply: Column) -> Column:
     return opaque(F.when(is_strict(reply), F.struct(*[one(f) for f in FIELDS])))
 
 
+class PromptSpec(NamedTuple):
+    """What shapes a request besides the document: data, not code."""
+
+    version: str
+    system: str
+    schema_json: str
+    note: str | None = None
+
+    def key(self, model: Column, text: Column) -> Column:
+        """The request key of a document under this prompt."""
+        return request_key(model, F.lit(self.version), F.lit(self.system), user_prompt(text, self.note), F.lit(self.schema_json))
+
+
 def user_prompt(text: Column, note: str | None = None) -> Column:
     """The document between its tags, after a note if there is one."""
     body = F.concat(F.lit("<document>\n"), text, F.lit("\n</document>"))
@@ -60,19 +75,18 @@ def needs_reply(fields: str = "fields") -> Column:
     return F.exists(F.array(*doubtful, *missing), lambda x: x)
 
 
-def cascade(df: DataFrame, replies: DataFrame, key: str = "request_key", pages: str = "pages") -> DataFrame:
+def cascade(df: DataFrame, replies: DataFrame, key: str = "request_key", pages: str = "pages", cut: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
     """``df`` (with ``candidates`` and ``fields``) with the better of its own and the reply's candidate for each field.
 
     Only rows that need a reply are joined; of a key that was recorded twice one row holds. ``used`` tells what happened; a missing or
     unusable reply leaves the own fields and a warning. Each side is scored against the whole document first, and what is chosen is
     scored again. ``replies`` has ``request_key`` and ``text``; it is a table like any other, joined by a shuffle unless it is small.
+    All is lazy and runs on a stream as well; scoring is a large plan, so a batch may give ``cut``, which makes a table of each of its rounds.
     """
-    # Scoring is a large plan, so each of its three rounds starts from a table: documents are written once for each.
-    stages = Stages(df.sparkSession)
-    need = stages.cut(df.withColumn("_need", needs_reply()))
+    need = cut(df.withColumn("_need", needs_reply()))
     one = replies.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("text").alias("_reply"))
     asked = need.where("_need").join(one, key, "left").withColumn("_theirs", reply_candidates(F.col("_reply")))
-    theirs = stages.cut(resolve(asked, "_theirs", pages, "_their_fields"))
+    theirs = cut(resolve(asked, "_theirs", pages, "_their_fields"))
     usable = F.col("_theirs").isNotNull()
     better = [
         F.when(usable & (F.col(f"_their_fields.{f}.confidence") >= F.col(f"fields.{f}.confidence")), F.col(f"_theirs.{f}")).otherwise(F.col(f"candidates.{f}")).alias(f)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,8 +154,12 @@ def resolve(df: DataFrame, candidates: str = "candidates", pages: str = "pages",
     return df.drop("_text", "_order", "_three", "_credit", "_dollar", "_squashed", *[f"_{k}_{f}" for k in "vsc" for f in FIELDS])
 
 
-def extract(df: DataFrame, pages: str = "pages") -> DataFrame:
-    """``df`` with ``candidates`` and ``fields``: the whole path from pages to typed fields, without a shuffle."""
+def extract(df: DataFrame, pages: str = "pages", extractor: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+    """``df`` with ``candidates`` and ``fields``: the whole path from pages to typed fields, without a shuffle.
+
+    ``extractor`` is any transform that adds ``candidates``; without one the labels of the lines propose them. What it proposes goes the
+    same way as all candidates.
+    """
     from ledgerlens.operators.lines import propose
 
-    return resolve(propose(df, pages), "candidates", pages)
+    return resolve((extractor or propose)(df, pages), "candidates", pages)

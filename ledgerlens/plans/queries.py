@@ -9,13 +9,15 @@ from ledgerlens.functions import amounts as A
 from ledgerlens.functions import dates as D
 from ledgerlens.functions import text as T
 from ledgerlens.functions.words import AMOUNT_FIELDS, FIELDS
-from ledgerlens.operators import labels, metrics, moments, replies
+from ledgerlens.operators import jobs, labels, metrics, moments, replies
 from ledgerlens.operators.lines import block_flags, lines_of, paired_rows
 from ledgerlens.operators.resolve import extract
 from ledgerlens.plans.render import invoices
-from ledgerlens.plans.runtime import spread, table
+from ledgerlens.plans.pipeline import run
+from ledgerlens.plans.runtime import Stages, first_delivery, spread, table
 from ledgerlens.sources import documents as sources
-from ledgerlens.sources.tables import upsert
+from ledgerlens.sources.tables import read_recordings, upsert, write_recordings
+from ledgerlens.streaming.monitor import signals as monitor_signals
 from ledgerlens.streaming.monitor import windowed
 
 Spark = SparkSession
@@ -47,8 +49,7 @@ def lines_report(spark: Spark, folder: str) -> DataFrame:
 
 def once(spark: Spark, folder: str) -> DataFrame:
     """Each extraction once: the first delivery holds."""
-    e = table(spark, folder, "extractions").where("extraction_id is not null")
-    return e.groupBy("extraction_id").agg(F.min_by(F.struct("client_id", "used", *FIELDS), "ingested_at").alias("r")).select("extraction_id", "r.*")
+    return first_delivery(table(spark, folder, "extractions"), "extraction_id", "ingested_at", ["client_id", "used", *FIELDS], Stages(spark))
 
 
 def normalised(spark: Spark, folder: str) -> DataFrame:
@@ -131,7 +132,7 @@ def hybrid(spark: Spark, folder: str) -> DataFrame:
     reply = {"invoice_date": found("1999-09-09"), "currency": found("EUR")}
     made = F.to_json(F.struct(*[reply.get(f, F.lit(None).cast("string")).alias(f) for f in FIELDS]), {"ignoreNullFields": "false"})
     known = df.where((F.col("layout") == 2) & (F.pmod(F.col("o_orderkey"), F.lit(2)) == 0)).select("request_key", made.alias("text"))
-    done = replies.cascade(extract(df), known)
+    done = run(df, "hybrid", known, cut=Stages(spark).cut)
     return done.select("o_orderkey", "used", F.size("warnings").alias("n_warnings"), F.col("fields.total_amount.confidence").alias("total_confidence"), F.col("fields.invoice_number.value").alias("invoice_number"))
 
 
@@ -156,8 +157,8 @@ def failure_lines(spark: Spark, folder: str) -> DataFrame:
 
 def cases_once(spark: Spark, folder: str) -> DataFrame:
     """Each case once, last delivery, with the status that most often goes with its invoice number (the first by name if tied)."""
-    c = table(spark, folder, "cases").where("case_id is not null")
-    one = c.groupBy("case_id").agg(F.max_by(F.struct("source", "split", "difficulty", "expected"), "loaded_at").alias("r")).select("case_id", "r.*")
+    stages = Stages(spark)
+    one = stages.cut(first_delivery(table(spark, folder, "cases"), "case_id", "loaded_at", ["source", "split", "difficulty", "expected", "notes"], stages, last=True))
     votes = one.where("expected.invoice_number is not null and expected.verdict is not null").groupBy(F.col("expected.invoice_number").alias("number"), F.col("expected.verdict").alias("guess")).count()
     best = votes.groupBy("number").agg(F.min(F.struct(-F.col("count"), "guess")).alias("b")).select("number", "b.guess")
     return one.withColumn("number", F.col("expected.invoice_number")).join(best, "number", "left").withColumn("verdict", F.col("expected.verdict"))
@@ -179,14 +180,16 @@ def source_roll_up(spark: Spark, folder: str) -> DataFrame:
 def quality_gate(spark: Spark, folder: str) -> DataFrame:
     """Sources whose dev or test cases agree less than their training cases do."""
     df = cases_once(spark, folder).where("source is not null and split is not null")
-    rate = F.avg((F.coalesce(F.col("verdict") == F.col("guess"), F.lit(False))).cast("double"))
-    stats = lambda cond: df.where(cond).groupBy(F.col("source").alias("name")).agg(rate.alias("agreement"))
-    return metrics.gate(stats("split <> 'train'"), stats("split = 'train'"), ["agreement"]).select("name", "metric", F.round("value", 9).alias("value"), F.round("least", 9).alias("least"))
+    ok = F.coalesce(F.col("verdict") == F.col("guess"), F.lit(False)).cast("double")
+    of = lambda cond, name: F.avg(F.when(cond, ok)).alias(name)
+    stats = Stages(spark).cut(df.groupBy(F.col("source").alias("name")).agg(of(F.col("split") != "train", "now"), of(F.col("split") == "train", "base")))
+    side = lambda c: stats.where(F.col(c).isNotNull()).select("name", F.col(c).alias("agreement"))
+    return metrics.gate(side("now"), side("base"), ["agreement"]).select("name", "metric", F.round("value", 9).alias("value"), F.round("least", 9).alias("least"))
 
 
 def latency(spark: Spark, folder: str) -> DataFrame:
     """Calls of each model, mean and 95th percentile by nearest rank; lost measurements (null, 0, -1) are no calls."""
-    r = table(spark, folder, "llm_responses").where("response_id is not null").groupBy("response_id").agg(F.min_by(F.struct("model", "latency_ms"), "received_at").alias("r")).select("r.*")
+    r = first_delivery(table(spark, folder, "llm_responses"), "response_id", "received_at", ["model", "latency_ms"], Stages(spark))
     m = metrics.calls(r.withColumn("latency_ms", F.when(F.col("latency_ms") > 0, F.col("latency_ms"))), "latency_ms", "model")
     return m.withColumn("mean_ms", F.round("mean_ms", 6))
 
@@ -231,6 +234,138 @@ def latest_deliveries(spark: Spark, folder: str) -> DataFrame:
     return upsert(pick(F.min_by, "old"), pick(F.max_by, "new"), "response_id")
 
 
+def requests(spark: Spark, folder: str) -> DataFrame:
+    """Request bodies made from all orders in twelve forms, sound and faulty, and what is read of them."""
+    k = F.pmod(F.col("o_orderkey"), F.lit(12))
+    forms = (
+        '{"document":{"text":"No %d"}}', '{"document":{"text":"No %d","media_type":"text/plain"},"config":{"max_age_days":9},"reference_date":"2024-02-29"}',
+        '{"document":{"base64":"SW52b2ljZQ=="},"config":null}', '{"document":{"text":5}}', '{"document":{"text":"x","more":1}}', '{"document":{"text":"x"},"config":7}',
+        '{"document":{"text":"x","base64":"SQ=="}}', '{"document":{}}', '{"document":{"text":"x"},"reference_date":"2023-02-29"}', '{"document":{"base64":"%%%"}}', '{"document":{"text":"x"},"extra":1}', 'no json',
+    )
+    body = F.lit(None).cast("string")
+    for i, form in enumerate(forms):
+        made = F.format_string(form, F.col("o_orderkey")) if "%d" in form else F.lit(form)
+        body = F.when(k == i, made).otherwise(body)
+    done = sources.from_requests(table(spark, folder, "orders").select("o_orderkey", body.alias("body")))
+    return done.select("o_orderkey", "text", F.decode("content", "UTF-8").alias("content"), "media_type", "config", "reference_date", "error")
+
+
+def pdf_rows(spark: Spark, folder: str) -> DataFrame:
+    """All documents as bytes, a third of them as PDF for a reader that parts pages at form feeds and fails on every second one; and their pages and errors."""
+    d = table(spark, folder, "documents").select("doc_id", "text")
+    pdf = F.pmod("doc_id", F.lit(3)) == 0
+    head = F.when(F.pmod("doc_id", F.lit(2)) == 0, "%PDF-1.7 broken ").otherwise("%PDF-1.7 ")
+    rows = d.withColumns({
+        "content": F.when(pdf, F.concat(head, F.coalesce("text", F.lit("")), F.lit("\x0cend"))).otherwise(F.col("text")).cast("binary"),
+        "media_type": F.when(F.pmod("doc_id", F.lit(5)) == 1, "image/png").when(F.pmod("doc_id", F.lit(5)) == 2, "text/x-log; charset=utf-8"),
+    })
+
+    def reader(content: bytes) -> list[str]:
+        if content[9:15] == b"broken":
+            raise ValueError
+        return content[9:].decode().split("\x0c")
+
+    done = sources.with_pdf_pages(sources.from_bytes(rows), reader)
+    return done.select("doc_id", "media_type", "error", (F.element_at("pages", -1) == "end").alias("has_end"))
+
+
+def recordings(spark: Spark, folder: str) -> DataFrame:
+    """Reply texts written as recordings and read back, by model: how many, how many keys, and their characters."""
+    r = table(spark, folder, "llm_responses").where("text is not null and request_key is not null and model is not null").withColumn("asked_model", F.col("model"))
+    path = f"{Stages(spark).root}/recordings"
+    write_recordings(r.select("request_key", "asked_model", "text", "model", "input_tokens", "output_tokens", "latency_ms", "cache_read_tokens", "cache_write_tokens", "recorded"), path)
+    back = read_recordings(spark, path)
+    return back.groupBy("asked_model").agg(F.count("*").alias("n"), F.count_distinct("request_key").alias("keys"), F.sum(F.length("text")).alias("chars"), F.sum("input_tokens").alias("input_tokens"))
+
+
+def text_functions(spark: Spark, folder: str) -> DataFrame:
+    """Small text functions over all extractions: the part of a name before a comma, figures, page of the evidence, money by currency."""
+    e = once(spark, folder)
+    name, amount = F.col("supplier_name.value"), F.col("total_amount.value")
+    pages = F.array(F.lit("first page"), F.coalesce("supplier_name.evidence", F.lit("")))
+    return e.select(
+        "extraction_id", T.before_comma(name).alias("short_name"), T.western_digits(F.translate(amount, "0123456789", "٠١٢٣٤٥٦٧٨٩")).alias("figures"),
+        T.page_of(pages, F.col("supplier_name.evidence")).alias("page"), A.minor_units(amount.try_cast("decimal(38,6)"), F.when(F.pmod("extraction_id", F.lit(2)) == 0, "KWD").otherwise("EUR")).alias("money"),
+        (F.length(T.request_id(F.when(F.pmod("extraction_id", F.lit(2)) == 0, F.concat(F.lit("id-"), F.col("extraction_id").cast("string"))).otherwise("no id"))) == 32).alias("new_id"),
+    )
+
+
+def results_of_cases(spark: Spark, folder: str) -> DataFrame:
+    """Cases as results of a run: the split is the configuration, the vote on the invoice number the prediction."""
+    return cases_once(spark, folder).select(
+        "case_id", F.coalesce("split", F.lit("none")).alias("config"), F.col("verdict").alias("expected"), F.col("guess").alias("predicted"), F.length("notes").alias("latency_ms"),
+        F.when(F.col("guess").isNull(), "heuristic:fallback").otherwise("heuristic").alias("used"),
+    )
+
+
+def comparison(spark: Spark, folder: str) -> DataFrame:
+    """The splits side by side."""
+    r = Stages(spark).cut(results_of_cases(spark, folder))
+    stats = r.groupBy("config").agg(F.count("*").alias("total"), F.count_if(F.col("expected") == F.col("predicted")).alias("exact"))
+    return metrics.comparison(r, stats, "config")
+
+
+def micro_rate(spark: Spark, folder: str) -> DataFrame:
+    """The exact rate over all fields of the candidates, by extractor."""
+    m = metrics.micro_rate(metrics.field_stats(agreement(spark, folder), "used"), "used")
+    return m.withColumn("field_exact_rate", F.round("field_exact_rate", 9))
+
+
+def verdict_lines(spark: Spark, folder: str) -> DataFrame:
+    return metrics.verdict_failures(results_of_cases(spark, folder))
+
+
+def fallbacks(spark: Spark, folder: str) -> DataFrame:
+    """Configurations that the gate stops for their fallbacks; that of the training cases may have some."""
+    s = metrics.summary(results_of_cases(spark, folder), "config")
+    return metrics.fallback_gate(s.select(F.when(F.col("config") == "train", "heuristic@train").otherwise(F.col("config")).alias("name"), "fallbacks"))
+
+
+def split_check(spark: Spark, folder: str) -> DataFrame:
+    """What is wrong with the splits of the cases, as faults of each kind."""
+    c = cases_once(spark, folder)
+    found = metrics.split_faults(c, c.where("split is not null").select("case_id", "split"))
+    return found.groupBy("fault").agg(F.count("*").alias("faults"), F.sum("n").alias("n"))
+
+
+def samples(spark: Spark, folder: str) -> DataFrame:
+    """Five orders of each status, the first by key."""
+    return labels.sample_of_each(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"), 5, "o_orderkey", "o_orderstatus", seed=None)
+
+
+def bills(spark: Spark, folder: str) -> DataFrame:
+    """Spanish bills made of all orders: some lack a tax line, the customer or the date in words; their labels and discrepancies."""
+    o = table(spark, folder, "orders").select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("day"), F.col("o_totalprice").cast("decimal(18,2)").alias("sub"))
+    es = lambda c: F.translate(F.format_number(c, 2), ",.", ".,")
+    low, high = F.round(F.col("sub") * F.lit("0.05").cast("decimal(4,2)"), 2).cast("decimal(18,2)"), F.round(F.col("sub") * F.lit("0.21").cast("decimal(4,2)"), 2).cast("decimal(18,2)")
+    o = o.withColumns({"low": F.when(F.pmod("o_orderkey", F.lit(3)) == 0, F.lit(0).cast("decimal(18,2)")).otherwise(low), "high": high})
+    word = F.element_at(F.array(*map(F.lit, jobs.SPANISH_MONTHS)), F.month("day"))
+    o = o.withColumns({"words": F.concat(F.dayofmonth("day").cast("string"), F.lit(" de "), word, F.lit(" de "), F.year("day").cast("string")), "all": F.col("sub") + F.col("low") + F.col("high")})
+    gt = {
+        "C1": F.lit(" Luz del Norte S.A. "), "F1": F.concat(F.lit("LN"), F.col("o_orderkey").cast("string")), "F3": F.col("words"), "J5": es("all"), "C2": F.lit("A12345678"), "J4": es("sub"),
+        "N5": es("low"), "N8": es("high"), "A1": F.concat(F.lit("Casa "), F.col("o_custkey").cast("string")), "A2": F.format_string("%08dZ", F.col("o_custkey")),
+    }
+    text = F.concat_ws(
+        "\n", F.lit("Luz del\nNorte S.A."), F.lit("CIF A-12345678"), F.concat(F.lit("Factura "), gt["F1"]), F.when(F.pmod("o_orderkey", F.lit(5)) == 0, F.date_format("day", "dd/MM/yyyy")).otherwise(F.col("words")),
+        F.when(F.pmod("o_orderkey", F.lit(7)) != 0, F.concat(gt["A1"], F.lit(" NIF "), gt["A2"])), F.concat(F.lit("Base "), es("sub")),
+        F.concat(F.lit("IVA 5% "), es("low")), F.when(F.pmod("o_orderkey", F.lit(11)) != 0, F.concat(F.lit("IVA 21% "), es("high"))), F.concat(F.lit("Total "), es("all"), F.lit(" €")),
+    )
+    done = jobs.idsem(o.withColumns({"gt": F.create_map(*[x for k, v in gt.items() for x in (F.lit(k), v)]), "text": text, "template": F.lit(2)}))
+    e = lambda f: F.col(f"expected.{f}").alias(f)
+    return done.select("o_orderkey", *map(e, ("supplier_name", "invoice_date", "total_amount", "tax_amount", "customer_name", "customer_tax_id")), F.size("discrepancies").alias("n_discrepancies"), "checks", F.array_contains("tags", "textual_spanish_date").alias("textual"))
+
+
+def signals(spark: Spark, folder: str) -> DataFrame:
+    """The named signals over the events as a log of documents, by day."""
+    e = table(spark, folder, "events").where("ts is not null")
+    log = e.select(
+        "ts", F.when(F.col("event_type") == "purchase", "REVIEW").otherwise("PASS").alias("verdict"), F.when(F.pmod("event_id", F.lit(7)) == 0, "heuristic:fallback").otherwise("heuristic").alias("used"),
+        F.pmod("event_id", F.lit(1000)).alias("latency_ms"), F.when(F.pmod("event_id", F.lit(4)) == 0, 0.3).otherwise(1.0).alias("least_confidence"),
+    )
+    found = windowed(log, "ts", width="1 day", **monitor_signals())
+    return found.drop("p95_ms")
+
+
 _BLANKS = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{0b}]"
 _ONCE = "(SELECT extraction_id, min_by(struct_pack({columns}), ingested_at) AS r FROM extractions WHERE extraction_id IS NOT NULL GROUP BY extraction_id)"
 
@@ -275,6 +410,9 @@ _CASES = """
     best AS (SELECT number, guess FROM votes QUALIFY row_number() OVER (PARTITION BY number ORDER BY n DESC, guess) = 1),
     k AS (SELECT case_id, r.source AS source, r.split AS split, r.difficulty AS difficulty, r.expected.verdict AS verdict, guess FROM one LEFT JOIN best ON number = r.expected.invoice_number)
 """
+_CASES_NOTES = _CASES.replace("difficulty := difficulty,", "difficulty := difficulty, notes := notes,") + """,
+    m AS (SELECT case_id, coalesce(r.split, 'none') AS config, r.expected.verdict AS verdict, guess, length(r.notes) AS ms FROM one LEFT JOIN best ON number = r.expected.invoice_number)
+"""
 _FIELD_KINDS = " AND ".join(
     f"(json_type(text, '$.{f}') = 'NULL' OR (json_type(text, '$.{f}') = 'OBJECT' AND list_sort(json_keys(text, '$.{f}')) = ['evidence', 'value'] "
     f"AND json_type(text, '$.{f}.value') = 'VARCHAR' AND json_type(text, '$.{f}.evidence') = 'VARCHAR'))"
@@ -309,6 +447,18 @@ QUERIES = {
     "arithmetic_check": arithmetic,
     "printed_check": printed_check,
     "upsert_deliveries": latest_deliveries,
+    "requests_strict": requests,
+    "pdf_rows": pdf_rows,
+    "recordings_back": recordings,
+    "text_functions": text_functions,
+    "comparison_table": comparison,
+    "micro_rate": micro_rate,
+    "verdict_lines": verdict_lines,
+    "fallback_gate": fallbacks,
+    "split_faults": split_check,
+    "samples_of_each": samples,
+    "label_bills": bills,
+    "monitor_signals": signals,
     "p2_found": moments.p2_found,
     "p2_zones": moments.p2_zones,
     "p2_estimated": moments.p2_estimated,
@@ -403,4 +553,63 @@ ORACLES: dict[str, str] = {
             SELECT response_id, min_by(struct_pack(i := input_tokens, t := output_tokens), received_at) AS o, max_by(struct_pack(i := input_tokens, t := output_tokens), received_at) AS n
             FROM llm_responses WHERE response_id IS NOT NULL GROUP BY response_id)
     """,
+    "requests_strict": """
+        SELECT o_orderkey, CASE k WHEN 0 THEN 'No ' || o_orderkey WHEN 1 THEN 'No ' || o_orderkey END AS text, CASE k WHEN 2 THEN 'Invoice' END AS content, CASE k WHEN 1 THEN 'text/plain' END AS media_type,
+            CASE k WHEN 1 THEN '{"max_age_days":9}' END AS config, CASE k WHEN 1 THEN DATE '2024-02-29' END AS reference_date, CASE WHEN k > 2 THEN 'invalid_request' END AS error
+        FROM (SELECT o_orderkey, o_orderkey % 12 AS k FROM orders)
+    """,
+    "pdf_rows": f"""
+        WITH d AS (SELECT doc_id, text, doc_id % 3 = 0 AS pdf, doc_id % 2 = 0 AS broken, CASE doc_id % 5 WHEN 1 THEN 'image/png' ELSE 'text/plain' END AS kind, strlen(text) > 5242880 AS large FROM documents)
+        SELECT doc_id, CASE WHEN pdf THEN 'application/pdf' ELSE kind END AS media_type,
+            CASE WHEN pdf THEN CASE WHEN strlen(coalesce(text, '')) > 5242800 THEN 'document_too_large' WHEN broken THEN 'unreadable_document' END
+                WHEN large THEN 'document_too_large' WHEN kind = 'image/png' THEN 'unsupported_media_type' WHEN text IS NULL OR NOT regexp_matches(text, '[^' || substr('{_BLANKS}', 2)) THEN 'unreadable_document' END AS error,
+            CASE WHEN pdf AND NOT broken THEN true WHEN NOT pdf AND kind <> 'image/png' AND regexp_matches(text, '[^' || substr('{_BLANKS}', 2)) THEN false END AS has_end
+        FROM d
+    """,
+    "recordings_back": """
+        SELECT model AS asked_model, count(*) AS n, count(DISTINCT request_key) AS keys, sum(length(text))::BIGINT AS chars, sum(input_tokens)::BIGINT AS input_tokens
+        FROM llm_responses WHERE text IS NOT NULL AND request_key IS NOT NULL AND model IS NOT NULL GROUP BY model
+    """,
+    "text_functions": f"""
+        WITH e AS {_ONCE.format(columns="n := supplier_name.value, ev := supplier_name.evidence, a := total_amount.value")}
+        SELECT extraction_id, trim(split_part(split_part(r.n, ',', 1), ' / ', 1)) AS short_name, r.a AS figures,
+            CASE WHEN r.ev IS NULL OR NOT regexp_matches(r.ev, '[^' || substr('{_BLANKS}', 2)) THEN NULL WHEN contains('first page', {_SOFT("r.ev").replace("regexp_replace(", "(", 1).replace(", '[.,]+$', '')", ")")}) THEN 1 ELSE 2 END::INT AS page,
+            CASE WHEN extraction_id % 2 = 0 THEN round(try_cast(r.a AS DECIMAL(38,6)), 3) ELSE round(try_cast(r.a AS DECIMAL(38,6)), 2) END::DECIMAL(38,3) AS money, extraction_id % 2 = 1 AS new_id
+        FROM e
+    """,
+    "comparison_table": f"""{_CASES_NOTES}
+        SELECT config, count(*) AS cases, round_even(count(*) FILTER (verdict = guess) * 100.0 / count(*), 0)::INT || '%' AS fields, round_even(count(*) FILTER (verdict = guess) * 100.0 / count(*), 0)::INT || '%' AS verdicts,
+            count(ms) AS llm_calls, count(*) FILTER (guess IS NULL) AS fallbacks, round(avg(ms), 6) AS mean_ms, cast(quantile_disc(ms, 0.95) AS DOUBLE) AS p95_ms
+        FROM m GROUP BY config
+    """,
+    "micro_rate": f"""{_AGREE}
+        SELECT used, round(count(*) FILTER (ok)::DOUBLE / count(*), 9) AS field_exact_rate FROM a GROUP BY used
+    """,
+    "verdict_lines": f"""{_CASES_NOTES}
+        SELECT case_id, 'verdict' AS field, 'verdict: expected ' || coalesce(verdict, 'None') || ', got ' || coalesce(guess, 'None') AS message FROM m WHERE verdict IS DISTINCT FROM guess
+    """,
+    "fallback_gate": f"""{_CASES_NOTES}
+        SELECT config AS name, 'fallbacks' AS metric, count(*)::DOUBLE AS value, 0.0::DOUBLE AS least FROM m WHERE guess IS NULL AND config <> 'train' GROUP BY config
+    """,
+    "split_faults": f"""{_CASES},
+        none AS (SELECT 'in no split' AS fault, count(*) AS faults, 0::BIGINT AS n FROM k WHERE split IS NULL HAVING count(*) > 0),
+        per AS (SELECT source, split, count(*) AS size FROM k WHERE split IS NOT NULL GROUP BY ALL),
+        un AS (SELECT source, max(size) - CASE WHEN count(*) < (SELECT count(DISTINCT split) FROM k) THEN 0 ELSE min(size) END AS n FROM per GROUP BY source)
+        FROM none UNION ALL SELECT 'uneven', count(*), sum(n)::BIGINT FROM un WHERE n > 1 HAVING count(*) > 0
+    """,
+    "samples_of_each": "SELECT o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) <= 5",
+    "label_bills": """
+        WITH o AS (SELECT o_orderkey, o_custkey, cast(o_orderdate AS DATE) AS day, cast(o_totalprice AS DECIMAL(18,2)) AS sub,
+            CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE cast(round(cast(o_totalprice AS DECIMAL(18,2)) * 0.05::DECIMAL(4,2), 2) AS DECIMAL(18,2)) END AS low, cast(round(cast(o_totalprice AS DECIMAL(18,2)) * 0.21::DECIMAL(4,2), 2) AS DECIMAL(18,2)) AS high FROM orders)
+        SELECT o_orderkey, 'Luz del Norte S.A.' AS supplier_name, strftime(day, '%Y-%m-%d') AS invoice_date, cast(cast(sub + low + high AS DECIMAL(38,2)) AS VARCHAR) AS total_amount,
+            CASE WHEN o_orderkey % 11 <> 0 THEN cast(cast(low + high AS DECIMAL(38,2)) AS VARCHAR) END AS tax_amount, CASE WHEN o_orderkey % 7 <> 0 THEN 'Casa ' || o_custkey END AS customer_name,
+            CASE WHEN o_orderkey % 7 <> 0 THEN printf('%08dZ', o_custkey) END AS customer_tax_id, (CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END + CASE WHEN o_orderkey % 7 = 0 THEN 2 ELSE 0 END)::INT AS n_discrepancies,
+            true AS checks, o_orderkey % 5 <> 0 AS textual
+        FROM o
+    """,
+    "monitor_signals": """
+        SELECT date_trunc('day', ts) AS window_start, count(*) AS documents, round(avg(CASE WHEN event_type = 'purchase' THEN 1.0 ELSE 0.0 END), 9) AS review_rate,
+            round(avg(CASE WHEN event_id % 7 = 0 THEN 1.0 ELSE 0.0 END), 9) AS fallback_rate, round(avg(CASE WHEN event_id % 4 = 0 THEN 1.0 ELSE 0.0 END), 9) AS ungrounded_rate
+        FROM events WHERE ts IS NOT NULL GROUP BY 1
+    """,
 }

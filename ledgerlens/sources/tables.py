@@ -21,16 +21,52 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
     return files.withColumn("case_id", F.regexp_extract(F.input_file_name(), r"([^/]+)\.expected\.json$", 1))
 
 
-def read_recordings(spark: SparkSession, path: str) -> DataFrame:
-    """Recorded replies ``<folder>/<model>/<32 hex digits>.json`` as a table keyed by folder and request."""
+def read_cases(spark: SparkSession, path: str, members: DataFrame | None = None, config: Column | None = None) -> DataFrame:
+    """The label files below a folder, in the order of their names; only those whose ``case_id`` is in ``members`` (a split), and with
+    ``config`` where a file has none."""
+    cases = read_labels(spark, path)
+    if members is not None:
+        cases = cases.join(members.select("case_id").distinct(), "case_id", "left_semi")
+    if config is not None:
+        kind = cases.schema["config"].dataType
+        cases = cases.withColumn("config", F.coalesce("config", config.cast(kind)))
+    return cases.orderBy("case_id")
+
+
+def default_config() -> Column:
+    """The configuration of cases that state none: ninety days, two currencies, four fields."""
+    words = lambda *w: F.array(*map(F.lit, w))
+    return F.struct(
+        F.lit("invoice").alias("document_type"), F.lit(90).alias("max_age_days"), words("EUR", "GBP").alias("allowed_currencies"),
+        words("supplier_name", "invoice_number", "invoice_date", "total_amount").alias("required_fields"), F.lit(None).cast("string").alias("expected_customer_tax_id"),
+    )
+
+
+def read_recording_files(spark: SparkSession, path: str) -> DataFrame:
+    """Recorded replies ``<folder>/<model>/<32 hex digits>.json``, one file each, as a table keyed by folder and request."""
     files = spark.read.schema(RECORDING).option("multiLine", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").json(path)
     name = F.input_file_name()
     return files.withColumns({"asked_model": F.regexp_extract(name, r"([^/]+)/[^/]+\.json$", 1), "request_key": F.regexp_extract(name, r"([0-9a-f]{32})\.json$", 1), "recorded": F.lit(True)})
 
 
+STORED = f"request_key string, asked_model string, {RECORDING}"
+
+
+def read_recordings(spark: SparkSession, path: str) -> DataFrame:
+    """The table that ``write_recordings`` appends to; all that is in it is recorded."""
+    return spark.read.schema(STORED).parquet(path).withColumn("recorded", F.lit(True))
+
+
 def write_recordings(df: DataFrame, path: str) -> None:
-    """Appends replies that were missing; ``recorded`` is not stored."""
-    df.drop("recorded").write.mode("append").partitionBy("asked_model").json(path)
+    """Appends replies that were missing, in files by model; key and model are stored with them, ``recorded`` is not."""
+    columns = [c.strip().split(" ") for c in STORED.split(",")]
+    df.select(*[(F.col(c) if c in df.columns else F.lit(None)).cast(t).alias(c) for c, t in columns]).write.mode("append").partitionBy("asked_model").parquet(path)
+
+
+def read_ground_truth(spark: SparkSession, path: str, column: str = "ground_truth") -> DataFrame:
+    """The JSON of a Parquet column of ground truth, one row each: ``document`` (the file and its place in it) and ``gt`` as a variant. Only that column is read."""
+    rows = spark.read.parquet(path)
+    return rows.select(F.concat_ws("#", F.col("_metadata.file_name"), F.col("_metadata.row_index").cast("string")).alias("document"), F.try_parse_json(column).alias("gt"))
 
 
 def xml_fields(xml: Column) -> Column:
@@ -64,6 +100,15 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return old.alias("o").join(new.alias("n"), key, "full").select(key, *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in columns])
 
 
-def markdown(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Rows of a report as lines of a Markdown table; the writer of the report puts the two lines of the head before them."""
-    return df.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[F.coalesce(F.col(c).cast("string"), F.lit("n/a")) for c in columns]), F.lit(" |")).alias("line"))
+def markdown(df: DataFrame, columns: list[str], title: str | None = None) -> DataFrame:
+    """A report as ``(place, line)``: the title, the head of a Markdown table, and a line for each row in the order of the columns."""
+    head = ([f"# {title}", ""] if title else []) + ["| " + " | ".join(columns) + " |", "|" + "---|" * len(columns)]
+    top = df.sparkSession.createDataFrame(list(enumerate(head)), "place int, line string")
+    cell = lambda c: F.replace(F.coalesce(F.col(c).cast("string"), F.lit("n/a")), F.lit("|"), F.lit("\\|"))
+    rows = df.orderBy(*columns).select(F.lit(len(head)).alias("place"), F.concat(F.lit("| "), F.concat_ws(" | ", *map(cell, columns)), F.lit(" |")).alias("line"))
+    return top.unionByName(rows).orderBy("place", "line")
+
+
+def write_report(df: DataFrame, path: str, columns: list[str], title: str | None = None) -> None:
+    """The report as one text file in a folder; reports have as many lines as there are configurations."""
+    markdown(df, columns, title).coalesce(1).sortWithinPartitions("place", "line").select("line").write.mode("overwrite").text(path)
