@@ -119,3 +119,17 @@ def p1_split(spark: SparkSession, folder: str) -> DataFrame:
         .join(F.broadcast(hashed), "r", "left")  # at most RANGES rows
         .select("case_id", "group_id", F.coalesce("own", "common").alias("new_split"))
     )
+
+
+def p1_shares(spark: SparkSession, folder: str) -> DataFrame:
+    """``(new_split, wanted, parted, near)``: of each split how many cases it should have, how many groups lie in it and in another one too
+    (none), and whether its size is off by no more than the largest group that had a choice, those of up to a tenth of all cases."""
+    stages = Stages(spark)
+    split = stages.cut(p1_split(spark, folder))
+    total = split.agg(F.count("*")).first()[0]
+    groups = split.groupBy("group_id").agg(F.count_distinct("new_split").alias("splits"), F.count("*").alias("members"))
+    parted, largest = groups.agg(F.count_if(F.col("splits") > 1), F.max(F.when(F.col("members") <= total / 10, F.col("members")))).first()
+    want = spark.createDataFrame([(k, round(v * total, 6)) for k, v in SHARES.items()], "new_split string, wanted double")
+    sizes = split.groupBy("new_split").agg(F.count("*").alias("n"))
+    near = F.abs(F.coalesce("n", F.lit(0)) - F.col("wanted")) <= (largest or 0)
+    return want.join(sizes, "new_split", "left").select("new_split", "wanted", F.lit(parted or 0).cast("bigint").alias("parted"), near.alias("near"))
