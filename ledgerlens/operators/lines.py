@@ -12,6 +12,7 @@ from ledgerlens.functions.amounts import find_amounts, find_currencies, normaliz
 from ledgerlens.functions.dates import find_dates
 from ledgerlens.functions.text import canon, is_label, let, opaque, strip
 from ledgerlens.functions.words import FIELDS
+from ledgerlens.plans.runtime import ship_code
 
 # The words that label fields on invoices, as patterns of the JVM.
 I = "(?iuU)"  # noqa: E741
@@ -49,6 +50,7 @@ VALUE_DATE = r"(?U)^\s*[\d./\-]{6,10}\s*$|^\s*\d{1,2}\s+\w+\.?\s+\d{2,4}\s*$"
 BLOCK_LINES = 6
 
 CANDIDATE = "struct<raw:string,evidence:string,page:int,ambiguous:boolean>"
+CANDIDATES = "struct<" + ",".join(f"{f}:{CANDIDATE}" for f in FIELDS) + ">"
 
 
 def none() -> Column:
@@ -278,26 +280,7 @@ def propose(df: DataFrame, pages: str = "pages") -> DataFrame:
 
     A null, an empty list of pages and blank pages give no candidates. Narrow: each document stays in its row.
     """
-    df = df.withColumn("_lines", lines_of(F.coalesce(F.col(pages), F.array().cast("array<string>"))))
-    df = df.withColumn("_inside", block_flags(F.col("_lines")))
-    df = df.withColumns({
-        "_own": F.filter("_lines", lambda x, i: ~F.get(F.col("_inside"), i)),
-        "_block": F.filter("_lines", lambda x, i: F.get(F.col("_inside"), i)),
-    })
-    df = df.withColumn("_rows", rows_of(F.col("_own"), paired_rows(F.col("_own"))))
-    rows, own = F.col("_rows"), F.col("_own")
-    df = df.withColumn("_total", last_amount(rows, lambda x: x["text"].rlike(TOTAL) & ~x["text"].rlike(NOT_TOTAL), lambda x: x["text"].rlike(TOTAL_STRONG)))
-    made = {
-        "supplier_name": supplier(F.col("_lines"), F.col("_inside")),
-        "invoice_number": invoice_number(own),
-        "invoice_date": invoice_date(own),
-        "total_amount": F.col("_total"),
-        "currency": currency(own, F.col("_total")),
-        "tax_id": tax_id(own),
-        "subtotal_amount": last_amount(rows, lambda x: x["text"].rlike(SUBTOTAL)),
-        "tax_amount": last_amount(rows, lambda x: ~x["text"].rlike(WITHHOLDING) & ~x["text"].rlike(TAX_ID_LINE) & x["text"].rlike(TAX_AMOUNT)),
-        "customer_name": customer_name(F.col("_block")),
-        "customer_tax_id": tax_id(F.col("_block")),
-    }
-    df = df.withColumn("candidates", opaque(F.struct(*[made[f].cast(CANDIDATE).alias(f) for f in FIELDS])))
-    return df.drop("_lines", "_inside", "_own", "_block", "_rows", "_total")
+    from ledgerlens.operators import onepass
+
+    ship_code(df.sparkSession)
+    return df.withColumn("candidates", F.arrow_udf(onepass.proposed, CANDIDATES)(pages))

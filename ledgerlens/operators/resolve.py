@@ -11,6 +11,8 @@ from ledgerlens.functions.amounts import DECIMAL, find_amounts, find_currencies,
 from ledgerlens.functions.dates import date_order, date_readings, is_credit_note, normalize_date, pick_reading
 from ledgerlens.functions.text import canon, fold, is_blank, let, normalize_text, opaque, page_of, squash
 from ledgerlens.functions.words import AMOUNT_FIELDS, FIELDS, ID_FIELDS
+from ledgerlens.operators.lines import CANDIDATES
+from ledgerlens.plans.runtime import ship_code
 
 # The four levels of confidence, and how printed amounts are added up.
 HIGH, AMBIGUOUS, UNGROUNDED, MISSING = 1.0, 0.6, 0.3, 0.0
@@ -21,6 +23,7 @@ CUSTOMER_LABEL = (
 )
 SUPPLIER_LABEL = r"(?iuU)\b(from|seller|supplier|vendor|issued\s+by|emisor|proveedor|lieferant|fournisseur|fornitore)\b"
 TYPES = {f: DECIMAL if f in AMOUNT_FIELDS else "date" if f == "invoice_date" else "string" for f in FIELDS}
+FIELDS_TYPE = "struct<" + ",".join(f"{f}:struct<value:{TYPES[f]},confidence:double,evidence:string,page:int>" for f in FIELDS) + ">"
 
 
 def grounded(evidence: Column, squashed: Column) -> Column:
@@ -103,55 +106,10 @@ def resolve(df: DataFrame, candidates: str = "candidates", pages: str = "pages",
     negative. A doubtful tax is confirmed by a sure subtotal and total; after that, parties that are the same, or that are quoted
     under the label of the other one, become doubtful. A null candidate is a field without a value.
     """
-    text = F.array_join(F.col(pages), "\n")
-    df = df.withColumn("_text", F.coalesce(text, F.lit("")))
-    df = df.withColumns({
-        "_order": date_order(F.col("_text")), "_three": has_three_decimals(F.col("_text")), "_credit": is_credit_note(F.col("_text")),
-        "_dollar": local_dollar(F.col("_text")), "_squashed": squash(F.col("_text")),
-    })
-    raw = lambda f: F.nullif(F.col(f"{candidates}.{f}.raw"), F.lit(""))
-
-    def value(f: str) -> Column:
-        if f == "invoice_date":
-            return normalize_date(raw(f), F.col("_order"))
-        if f in AMOUNT_FIELDS:
-            return let(normalize_amount(raw(f), F.col("_three")), lambda v: F.when(F.col("_credit") & (v > 0), -v).otherwise(v).cast(DECIMAL))
-        if f == "currency":
-            return normalize_currency(raw(f))
-        return normalize_tax_id(raw(f)) if f in ("tax_id", "customer_tax_id") else normalize_text(raw(f))
-
-    df = df.withColumns({f"_v_{f}": value(f).cast(TYPES[f]) for f in FIELDS})
-    evidence = lambda f: F.col(f"{candidates}.{f}.evidence")
-    df = df.withColumns({
-        f"_s_{f}": support(f, F.col(f"_v_{f}"), evidence(f), F.col("_order"), F.col("_three"), F.col("_credit"), F.col("_dollar")) for f in FIELDS
-    })
-    df = df.withColumns({
-        f"_c_{f}": confidence(F.col(f"_v_{f}"), raw(f), evidence(f), F.col(f"{candidates}.{f}.ambiguous"), F.col("_squashed"), F.col(f"_s_{f}")) for f in FIELDS
-    })
-    adds_up = F.abs(F.col("_v_subtotal_amount") + F.col("_v_tax_amount") - F.col("_v_total_amount")) <= F.lit("0.01").cast("decimal(4,2)")
-    sure = (F.col("_c_tax_amount") == AMBIGUOUS) & (F.col("_c_subtotal_amount") == HIGH) & (F.col("_c_total_amount") == HIGH) & adds_up
-    df = df.withColumn("_c_tax_amount", F.when(sure, HIGH).otherwise(F.col("_c_tax_amount")))
-    same_name = canon(F.col("_v_supplier_name")) == canon(F.col("_v_customer_name"))
-    same_party = F.coalesce(same_name, F.lit(False)) | F.coalesce(same_tax_id(F.col("_v_tax_id"), F.col("_v_customer_tax_id")), F.lit(False))
-
-    def in_role(f: str, other: str) -> Column:
-        doubt = same_party | F.coalesce(F.when(raw(f).isNotNull(), evidence(f)).rlike(other), F.lit(False))
-        return F.when((F.col(f"_c_{f}") == HIGH) & doubt, AMBIGUOUS).otherwise(F.col(f"_c_{f}"))
-
-    df = df.withColumns({
-        **{f"_c_{f}": in_role(f, CUSTOMER_LABEL) for f in ("supplier_name", "tax_id")},
-        **{f"_c_{f}": in_role(f, SUPPLIER_LABEL) for f in ("customer_name", "customer_tax_id")},
-    })
-    kept = lambda f: F.when(raw(f).isNotNull(), evidence(f))
-    made = {
-        f: F.struct(
-            F.col(f"_v_{f}").alias("value"), F.col(f"_c_{f}").alias("confidence"), kept(f).alias("evidence"),
-            F.coalesce(F.col(f"{candidates}.{f}.page"), page_of(F.col(pages), kept(f))).alias("page"),
-        )
-        for f in FIELDS
-    }
-    df = df.withColumn(fields, opaque(F.struct(*[made[f].alias(f) for f in FIELDS])))
-    return df.drop("_text", "_order", "_three", "_credit", "_dollar", "_squashed", *[f"_{k}_{f}" for k in "vsc" for f in FIELDS])
+    from ledgerlens.operators import onepass
+
+    ship_code(df.sparkSession)
+    return df.withColumn(fields, F.arrow_udf(onepass.resolved, FIELDS_TYPE)(candidates, pages))
 
 
 def extract(df: DataFrame, pages: str = "pages", extractor: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
@@ -160,6 +118,10 @@ def extract(df: DataFrame, pages: str = "pages", extractor: Callable[[DataFrame,
     ``extractor`` is any transform that adds ``candidates``; without one the labels of the lines propose them. What it proposes goes the
     same way as all candidates.
     """
-    from ledgerlens.operators.lines import propose
+    from ledgerlens.operators import onepass
 
-    return resolve((extractor or propose)(df, pages), "candidates", pages)
+    if extractor:
+        return resolve(extractor(df, pages), "candidates", pages)
+    ship_code(df.sparkSession)
+    both = df.withColumn("_both", F.arrow_udf(onepass.extracted, f"struct<candidates:{CANDIDATES},fields:{FIELDS_TYPE}>")(pages))
+    return both.withColumns({"candidates": F.col("_both.candidates"), "fields": F.col("_both.fields")}).drop("_both")
