@@ -81,12 +81,12 @@ def cascade(df: DataFrame, replies: DataFrame, key: str = "request_key", pages:
     Only rows that need a reply are joined; of a key that was recorded twice one row holds. ``used`` tells what happened; a missing or
     unusable reply leaves the own fields and a warning. Each side is scored against the whole document first, and what is chosen is
     scored again. ``replies`` has ``request_key`` and ``text``; it is a table like any other, joined by a shuffle unless it is small.
-    All is lazy and runs on a stream as well; scoring is a large plan, so a batch may give ``cut``, which makes a table of each of its rounds.
+    All is lazy and runs on a stream as well; a batch may give ``cut``, which makes a table of the first scores, as both kinds of rows read them.
     """
     need = cut(df.withColumn("_need", needs_reply()))
     one = replies.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("text").alias("_reply"))
     asked = need.where("_need").join(one, key, "left").withColumn("_theirs", reply_candidates(F.col("_reply")))
-    theirs = cut(resolve(asked, "_theirs", pages, "_their_fields"))
+    theirs = resolve(asked, "_theirs", pages, "_their_fields")
     usable = F.col("_theirs").isNotNull()
     better = [
         F.when(usable & (F.col(f"_their_fields.{f}.confidence") >= F.col(f"fields.{f}.confidence")), F.col(f"_theirs.{f}")).otherwise(F.col(f"candidates.{f}")).alias(f)
