@@ -112,8 +112,8 @@ def resolve(df: DataFrame, candidates: str = "candidates", pages: str = "pages",
     return df.withColumn(fields, F.arrow_udf(onepass.resolved, FIELDS_TYPE)(candidates, pages))
 
 
-def extract(df: DataFrame, pages: str = "pages", extractor: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
-    """``df`` with ``candidates`` and ``fields``: the whole path from pages to typed fields, without a shuffle.
+def extract(df: DataFrame, pages: str = "pages", extractor: Callable[[DataFrame, str], DataFrame] | None = None, candidates: bool = True) -> DataFrame:
+    """``df`` with ``candidates`` (unless they aren't wanted) and ``fields``: the whole path from pages to typed fields, without a shuffle.
 
     ``extractor`` is any transform that adds ``candidates``; without one the labels of the lines propose them. What it proposes goes the
     same way as all candidates.
@@ -123,5 +123,7 @@ def extract(df: DataFrame, pages: str = "pages", extractor: Callable[[DataFrame,
     if extractor:
         return resolve(extractor(df, pages), "candidates", pages)
     ship_code(df.sparkSession)
+    if not candidates:
+        return df.withColumn("fields", F.arrow_udf(onepass.extracted_fields, FIELDS_TYPE)(pages))
     both = df.withColumn("_both", F.arrow_udf(onepass.extracted, f"struct<candidates:{CANDIDATES},fields:{FIELDS_TYPE}>")(pages))
     return both.withColumns({"candidates": F.col("_both.candidates"), "fields": F.col("_both.fields")}).drop("_both")

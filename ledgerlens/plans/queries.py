@@ -25,7 +25,7 @@ Spark = SparkSession
 
 def extracted(spark: Spark, folder: str) -> DataFrame:
     """Text in, ten typed fields out, on invoices rendered from all orders."""
-    done = extract(spread(invoices(spark, folder)))
+    done = extract(spread(invoices(spark, folder)), candidates=False)
     value = lambda f: F.col(f"fields.{f}.value").cast("decimal(18,2)") if f in AMOUNT_FIELDS else F.col(f"fields.{f}.value")
     least = F.array_min(F.array(*[F.col(f"fields.{f}.confidence") for f in FIELDS]))
     return done.select("o_orderkey", *[value(f).alias(f) for f in FIELDS], least.alias("least_confidence"))
